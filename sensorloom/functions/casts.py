@@ -1,4 +1,8 @@
-"""Casts that turn what they cannot read into NULL, never into an error."""
+"""Casts that turn what they cannot read into NULL, never into an error.
+
+Each uses its input as few times as it can: the optimizer copies an input into every place that
+uses it when it moves a filter below a projection, and copies of copies grow fast.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,11 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import CSV_NULL_MARKERS, SENTINELS
 
-_DAY_OR_MONTH_FIRST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
-_YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})"
+# Dates with slashes or dots, and dates that start with the day or the month.
+_YEAR_FIRST = (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
+_MONTH = r"(0?[1-9]|1[0-2])"
+_DAY_MONTH = (rf"^(\d{{1,2}})[-/.]{_MONTH}[-/.](\d{{4}})", "$3-$2-$1")
+_MONTH_DAY = (rf"^{_MONTH}[-/.](\d{{1,2}})[-/.](\d{{4}})", "$3-$1-$2")
 
 
 def null_markers(c: Column) -> Column:
@@ -26,21 +33,23 @@ def clean_text(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Double, or NULL when the text is no number; NaN counts as missing."""
     # Java reads a trailing d or f as a type suffix ("1.5d"), which is no number here.
-    number = F.when(~c.rlike(r"[0-9.][dDfF]$"), c).try_cast("double")
-    return F.when(~F.isnan(number), number)
+    suffixed = F.substring(c, -1, 1).isin("d", "D", "f", "F") & ~c.ilike("%inf")
+    return nan_to_null(F.when(~suffixed, c).try_cast("double"))
 
 
 def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def to_moment(c: Column, day_first: bool = True) -> Column:
-    """Timestamp without zone from ISO text, or from text that starts with day and month."""
-    iso = F.regexp_replace(c, _YEAR_FIRST, "$1-$2-$3")
-    day_month = F.regexp_replace(c, _DAY_OR_MONTH_FIRST, "$3-$2-$1")
-    month_day = F.regexp_replace(c, _DAY_OR_MONTH_FIRST, "$3-$1-$2")
-    first, second = (day_month, month_day) if day_first else (month_day, day_month)
-    return F.coalesce(*[x.try_cast("timestamp_ntz") for x in (iso, first, second)])
+    """Timestamp without zone from ISO text, or from text that starts with day and month.
+
+    Where both could be the month, day_first decides; a number above 12 is the day.
+    """
+    orders = (_DAY_MONTH, _MONTH_DAY) if day_first else (_MONTH_DAY, _DAY_MONTH)
+    for pattern, iso in (_YEAR_FIRST, *orders):
+        c = F.regexp_replace(c, pattern, iso)
+    return c.try_cast("timestamp_ntz")
 
 
 def to_day(c: Column) -> Column:

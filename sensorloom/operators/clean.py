@@ -91,7 +91,7 @@ def valid_coordinates(df: DataFrame) -> Column | None:
         return None
     types = dict(df.dtypes)
     lat_value, lon_value = [to_number(col(c)) if types[c] == "string" else col(c) for c in (lat, lon)]
-    return F.coalesce(lat_value.between(-90, 90) & lon_value.between(-180, 180), F.lit(False))
+    return F.coalesce((F.abs(lat_value) <= 90) & (F.abs(lon_value) <= 180), F.lit(False))
 
 
 def keep_valid_coordinates(df: DataFrame) -> DataFrame:
