@@ -11,12 +11,12 @@ INFINITY = float("inf")
 
 
 def rain_temp_ratio(rain: Column, temperature: Column) -> Column:
-    """rain / (temperature + 1); a zero divisor gives a signed infinity, and NULL for no rain."""
+    """rain / (temperature + 1); a zero divisor gives a signed infinity, or NULL for no rain."""
     base = temperature + 1.0
     return (
         F.when(base != 0, rain / base)
-        .when(rain > 0, F.lit(INFINITY))
-        .when(rain < 0, F.lit(-INFINITY))
+        .when((base == 0) & (rain > 0), F.lit(INFINITY))
+        .when((base == 0) & (rain < 0), F.lit(-INFINITY))
     )
 
 

@@ -73,14 +73,16 @@ def with_split(
 ) -> DataFrame:
     """Rows with a target, each marked train, validation or test by its date.
 
-    The two cut dates are scalar subqueries: two values, found once, used by every task.
+    The cut dates are one scalar subquery: two values, found once, used by every task. The rows
+    are read twice, for the dates and for the result, so they should come from a written table.
     """
     cuts = cut_dates(df, shares, date, target)
+    ends = cuts.select(F.struct("train_end", "validation_end")).scalar()
     day = F.to_date(date)
     return valid_targets(df, target).withColumn(
         SPLIT,
-        F.when(day <= cuts.select("train_end").scalar(), "train")
-        .when(day <= cuts.select("validation_end").scalar(), "validation")
+        F.when(day <= ends.getField("train_end"), "train")
+        .when(day <= ends.getField("validation_end"), "validation")
         .otherwise("test"),
     )
 

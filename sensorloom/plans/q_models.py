@@ -26,10 +26,6 @@ from sensorloom.sources.scratch import scratch_folder, written
 TRAIN = "split = 'train'"
 
 
-def _train(spark: SparkSession, sf: str) -> DataFrame:
-    return v.split(spark, sf).where(TRAIN)
-
-
 @query(
     "k01_feature_types",
     v.on_readings("""SELECT unnest(['numeric', 'categorical', 'dropped', 'excluded']) AS kind, unnest([10, 1, 0, 4]) AS n_columns,
@@ -47,9 +43,10 @@ _IMPUTED = ", ".join(f"{sql_r6(f'coalesce({c}, (SELECT median({c}) FROM train))'
 
 @query("k02_median_imputation", v.on_readings(f"SELECT district_code, date, {_IMPUTED} FROM split"))
 def median_imputation(spark: SparkSession, sf: str) -> DataFrame:
-    fits = fit_numeric(_train(spark, sf), MEASURES)
-    filled = [F.coalesce(number(f.column), F.lit(f.median)).alias(f.column) for f in fits]
-    return rounded(v.split(spark, sf).select("district_code", "date", *filled))
+    # Fitting reads the rows several times, so they are written once.
+    split = written(v.split(spark, sf).select("district_code", "date", *MEASURES, "split"))
+    filled = [F.coalesce(number(f.column), F.lit(f.median)).alias(f.column) for f in fit_numeric(split.where(TRAIN), MEASURES)]
+    return rounded(split.select("district_code", "date", *filled))
 
 
 _SEGMENT_SQL = """
@@ -80,7 +77,7 @@ def _scaled_sql(c: str) -> str:
 @query("k04_standard_scaling", v.on_readings("SELECT district_code, date, " + ", ".join(_scaled_sql(c) for c in MEASURES) + " FROM split"))
 def standard_scaling(spark: SparkSession, sf: str) -> DataFrame:
     columns = ("district_code", "date", "split", "target", *MEASURES)
-    split = v.split(spark, sf).select(*columns)
+    split = written(v.split(spark, sf).select(*columns))
     fitted = fit(split.where(TRAIN), PrepSpec())
     return rounded(transform(split, fitted, keep=["district_code", "date"]).drop("split", "target"))
 
@@ -109,7 +106,6 @@ def _prepared_sql() -> str:
 
 @query("k06_fit_and_transform", _prepared_sql())
 def fitted_and_transformed(spark: SparkSession, sf: str) -> DataFrame:
-    # Fitting and transforming read the splits several times, so they are written once.
     split = written(v.split(spark, sf).select("district_code", "date", "district", *MEASURES, "split", "target"))
     prepared, _ = fit_transform(split)
     return rounded(prepared.select("split", "target", *[f"numeric__{c}" for c in MEASURES], "categorical__district_NATION_3"))

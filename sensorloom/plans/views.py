@@ -14,6 +14,7 @@ from sensorloom.operators.district_day import district_day
 from sensorloom.operators.master import master_table
 from sensorloom.operators.split import with_split
 from sensorloom.operators.target import with_target
+from sensorloom.sources.scratch import written
 
 HUMIDITY_COLUMN = "Telemetry Hourly Relative Humidity (%)"
 DIRTY_COLUMNS = (
@@ -169,7 +170,7 @@ def targeted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf: str) -> DataFrame:
-    return with_split(targeted(spark, sf))
+    return with_split(written(targeted(spark, sf)))
 
 
 # --- Raw text with every kind of dirt ------------------------------------------------
