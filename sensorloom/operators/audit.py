@@ -102,11 +102,14 @@ def audit_report(df: DataFrame, dataset: str, name: str) -> DataFrame:
     """One row: size, types, missing and repeated rows, ranges, stations, districts, verdict.
 
     Copies are folded first; every other figure is then weighted by how often a row occurs, so the
-    table is read and shuffled once. Two small joins add the distinct names.
+    table is read and shuffled once. District names are gathered as sets: each task passes on
+    every name once, as many as there are districts.
     """
     columns = df.columns
     folded = df.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
     roles = _role_columns(df)
+    has_station = find_audit_role(columns, "station") is not None
+    has_district = find_audit_role(columns, "district") is not None
     missing = [F.sum(F.when(col(c).isNull(), F.col("_copies")).otherwise(0)) for c in columns]
     stats = folded.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
@@ -117,36 +120,34 @@ def audit_report(df: DataFrame, dataset: str, name: str) -> DataFrame:
         F.max(roles["latitude"]).alias("latitude_max"),
         F.min(roles["longitude"]).alias("longitude_min"),
         F.max(roles["longitude"]).alias("longitude_max"),
-        F.count_distinct(roles["station"]).alias("n_stations"),
+        F.count_distinct(roles["station"]).alias("_stations"),
+        F.array_sort(F.collect_set(roles["district"])).alias("_districts"),
         *[F.coalesce(m, F.lit(0)).alias(f"_m{i}") for i, m in enumerate(missing)],
     )
     total = reduce(Column.__add__, [F.col(f"_m{i}") for i in range(len(columns))])
     by_column = F.map_from_arrays(
         F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"_m{i}") for i in range(len(columns))])
     )
-    key = F.lit(dataset).alias("dataset_name")
-    districts = district_names(df, name).select(key, "districts", "name_present")
     cells = F.col("n_rows") * len(columns)
-    n_stations, has_station = F.col("n_stations"), find_audit_role(columns, "station") is not None
-    return (
-        stats.select(
-            key,
-            "n_rows",
-            F.lit(len(columns)).alias("n_columns"),
-            F.array(*[F.lit(c) for c in columns]).alias("column_names"),
-            F.array(*[F.lit(t) for _, t in df.dtypes]).alias("column_types"),
-            by_column.alias("missing_by_column"),
-            total.alias("total_missing"),
-            "duplicate_rows",
-            "earliest",
-            "latest",
-            "latitude_min",
-            "latitude_max",
-            "longitude_min",
-            "longitude_max",
-            (n_stations if has_station else F.lit(None).cast("bigint")).alias("n_stations"),
-            audit_status(F.col("n_rows"), cells, total, F.col("duplicate_rows")).alias("status"),
-        )
-        .join(districts, "dataset_name", "left")
-        .withColumn("n_districts", F.size("districts"))
+    present = F.exists("_districts", lambda d: F.lower(d).contains(name.lower()))
+    return stats.select(
+        F.lit(dataset).alias("dataset_name"),
+        "n_rows",
+        F.lit(len(columns)).alias("n_columns"),
+        F.array(*[F.lit(c) for c in columns]).alias("column_names"),
+        F.array(*[F.lit(t) for _, t in df.dtypes]).alias("column_types"),
+        by_column.alias("missing_by_column"),
+        total.alias("total_missing"),
+        "duplicate_rows",
+        "earliest",
+        "latest",
+        "latitude_min",
+        "latitude_max",
+        "longitude_min",
+        "longitude_max",
+        F.when(F.lit(has_station), F.col("_stations")).alias("n_stations"),
+        F.when(F.lit(has_district), F.col("_districts")).alias("districts"),
+        F.when(F.lit(has_district), F.size("_districts")).alias("n_districts"),
+        F.when(F.lit(has_district), present).alias("name_present"),
+        audit_status(F.col("n_rows"), cells, total, F.col("duplicate_rows")).alias("status"),
     )

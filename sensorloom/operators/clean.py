@@ -16,6 +16,7 @@ from sensorloom.functions.names import (
     find_role,
     trimmed_names,
 )
+from sensorloom.sources.scratch import written
 
 NUMERIC_VOTE_SHARE = 0.5
 
@@ -175,11 +176,14 @@ def standardise(df: DataFrame, dataset: str, source_file: str | Column) -> DataF
 def clean(df: DataFrame, category: str, numeric: Sequence[str] | None = None) -> DataFrame:
     """All cleaning steps in their fixed order; copies are compared as text, before any cast.
 
-    With the numeric columns given, nothing runs until the result is used.
+    With the numeric columns given, nothing runs until the result is used. Otherwise the distinct
+    rows are written once, because both the vote and the casts that follow it read them.
     """
     original = df.columns
-    df = clean_missing(df.toDF(*trimmed_names(original)))
-    df = convert_datetimes(drop_empty_rows(drop_repeated_rows(df)))
+    df = drop_repeated_rows(clean_missing(df.toDF(*trimmed_names(original))))
+    if numeric is None:
+        df = written(df)
+    df = convert_datetimes(drop_empty_rows(df))
     df = keep_valid_coordinates(convert_numerics(df, numeric))
     return keep_column_order(apply_range(df, category), original)
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sensorloom.errors import DataCheckError
 from sensorloom.functions.scalars import is_infinite
-from sensorloom.operators.checks import float_columns, numeric_columns, repeated_row_count
+from sensorloom.operators.checks import float_columns, numeric_columns
 
 
 def infinite_counts(df: DataFrame) -> DataFrame:
@@ -37,34 +37,26 @@ def feature_table_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
         "date_columns": sum(isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) for f in fields),
     }
     missing = [c for c in required if c not in df.columns]
-    # Infinities and NULLs come from one pass, copies from a grouped one.
-    flags = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    # Copies are folded first, and every figure is read off the folded rows: one pass, one shuffle.
+    folded = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    flags = folded.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
         *[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"null{i}") for i, f in enumerate(fields)],
         *[F.count_if(is_infinite(F.col(f"`{f.name}`"))).alias(f"inf{i}") for i, f in enumerate(fields) if f.name in floats],
     )
     zero = F.lit(0)
     with_nulls = sum([(F.col(f"null{i}") > 0).cast("int") for i in range(len(fields))], zero)
     with_inf = sum([(F.col(f"inf{i}") > 0).cast("int") for i, f in enumerate(fields) if f.name in floats], zero)
-    summary = flags.select(
+    return flags.select(
         "total_rows",
         F.lit(len(fields)).alias("total_columns"),
         *[F.lit(n).alias(name) for name, n in families.items()],
         F.lit(len(missing)).alias("missing_required_columns"),
         with_inf.alias("columns_with_infinities"),
         with_nulls.alias("columns_with_nulls"),
-        F.lit(1).alias("_one"),
-    )
-    # Two tables of one row each, joined on a constant.
-    copies = repeated_row_count(df).withColumn("_one", F.lit(1))
-    return summary.join(copies, "_one").select(
-        *[c for c in summary.columns if c != "_one"],
         "duplicate_rows",
-        (
-            (F.col("missing_required_columns") == 0)
-            & (F.col("duplicate_rows") == 0)
-            & (F.col("columns_with_infinities") == 0)
-        ).alias("is_valid"),
+        (F.lit(not missing) & (F.col("duplicate_rows") == 0) & (with_inf == 0)).alias("is_valid"),
     )
 
 

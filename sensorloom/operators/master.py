@@ -131,20 +131,21 @@ def join_categories(
 
 
 def join_steps(frames: Mapping[str, DataFrame], order: Sequence[str] | None = None) -> DataFrame:
-    """Match statistics of every step of the fold, without running the fold.
+    """Match statistics of every step of the fold, without running the fold."""
+    names = _in_order(frames, order)
+    tagged = [frames[n].select(*MASTER_KEYS, F.lit(n).alias(CATEGORY)) for n in names]
+    return category_steps(reduce(DataFrame.unionByName, tagged), names)
+
+
+def category_steps(aggregated: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """The same statistics from one long table.
 
-    One grouped pass notes which inputs hold a key; step k matches keys of inputs 1..k-1 with
-    those of input k.
+    One grouped pass notes which categories hold a key; step k matches the keys of categories
+    1 to k-1 with those of category k.
     """
-    names = _in_order(frames, order)
-    tagged = [
-        frames[n].select(*MASTER_KEYS, *[F.lit(1 if m == n else 0).alias(f"in_{j}") for j, m in enumerate(names)])
-        for n in names
-    ]
-    present = (
-        reduce(DataFrame.unionByName, tagged)
-        .groupBy(*MASTER_KEYS)
-        .agg(*[F.max(f"in_{j}").alias(f"in_{j}") for j in range(len(names))])
+    names = list(names or [c.name for c in CATEGORIES])
+    present = aggregated.groupBy(*MASTER_KEYS).agg(
+        *[F.max((F.col(CATEGORY) == n).cast("int")).alias(f"in_{j}") for j, n in enumerate(names)]
     )
     sums = []
     for k in range(1, len(names)):

@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.config import (
-    CATEGORIES,
     CATEGORY,
     CATEGORY_BY_NAME,
     DISTRICT,
@@ -38,10 +36,11 @@ from sensorloom.operators.district_day import (
     district_day,
     reading_violations,
     require_categories,
+    union_files,
 )
 from sensorloom.operators.feature_checks import feature_table_report, require_valid_features
 from sensorloom.operators.features import build_features
-from sensorloom.operators.master import join_steps, master_report, master_table, one_category
+from sensorloom.operators.master import category_steps, master_report, master_table
 from sensorloom.operators.models import evaluate_all, load_champion, save_champion, train_all
 from sensorloom.operators.prep import fit_transform, prep_report
 from sensorloom.operators.scoring import accepted, with_payload_error
@@ -78,12 +77,16 @@ def typed_readings(cleaned: DataFrame, category: str) -> DataFrame:
 
 
 def clean_readings(spark: SparkSession, paths: Mapping[str, str | Sequence[str]], out: str) -> DataFrame:
-    """Clean the raw files of every category and write them as one table of readings."""
+    """Clean the raw files of every category and write them as one table of readings.
+
+    Each file (or folder of files with one header) is read by its own header and cleaned by itself.
+    """
     parts = [
-        typed_readings(clean(read_raw_csv(spark, files), category), category)
+        typed_readings(clean(read_raw_csv(spark, path), category), category)
         for category, files in paths.items()
+        for path in ([files] if isinstance(files, str) else files)
     ]
-    readings = reduce(DataFrame.unionByName, parts)
+    readings = union_files(parts)
     readings.write.mode("overwrite").partitionBy(CATEGORY).parquet(out)
     return read_table(spark, out)
 
@@ -105,8 +108,7 @@ def build_master(daily: DataFrame, out: str) -> DataFrame:
     write_table(master_table(daily), f"{out}/master", f"{out}/master_csv")
     master = read_table(spark, f"{out}/master")
     require_unique(master, MASTER_KEYS, "master table")
-    frames = {c.name: one_category(daily, c.name) for c in CATEGORIES}
-    write_report(join_steps(frames), f"{out}/reports/merge_steps")
+    write_report(category_steps(daily), f"{out}/reports/merge_steps")
     write_report(master_report(master), f"{out}/reports/master")
     return master
 

@@ -32,6 +32,7 @@ from sensorloom.operators.target import leakage_audit, missing_by_group, target_
 from sensorloom.plans import views as v
 from sensorloom.plans.q_windows import METRICS_SQL, PREDICTIONS_SQL, predictions
 from sensorloom.plans.registry import query, rounded, sql_r6
+from sensorloom.sources.scratch import written
 
 TIME, HUMIDITY = "Data Acquisition Time", v.HUMIDITY_COLUMN
 
@@ -233,7 +234,8 @@ def _describe_sql() -> str:
 @query("d18_describe", v.on_readings(_describe_sql()))
 def describe(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["district_code", "groundwater_level", "rainfall_mm", "rainfall_station_count", "district", "date"]
-    return rounded(describe_all(v.master(spark, sf), columns))
+    # The description takes several passes, so the table is written once.
+    return rounded(describe_all(written(v.master(spark, sf).select(*columns)), columns))
 
 
 _RATIO_SQL = """

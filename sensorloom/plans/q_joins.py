@@ -9,8 +9,8 @@ from sensorloom.config import CATEGORIES, MASTER_COLUMNS
 from sensorloom.operators.checks import duplicate_key_stats
 from sensorloom.operators.district_day import district_day
 from sensorloom.operators.master import (
+    category_steps,
     join_categories,
-    join_steps,
     master_table,
     match_counts,
     one_category,
@@ -104,8 +104,7 @@ def _steps_sql() -> str:
 
 @query("c04b_join_steps", v.on_readings(_steps_sql()))
 def fold_steps(spark: SparkSession, sf: str) -> DataFrame:
-    daily = v.daily(spark, sf)
-    return join_steps({c.name: one_category(daily, c.name) for c in CATEGORIES})
+    return category_steps(v.daily(spark, sf))
 
 
 # Two standardised tables: readings of one kind by station and hour, and another kind without a

@@ -9,6 +9,7 @@ from sensorloom.config import MEASURES, PrepSpec
 from sensorloom.operators.evaluate import champion, rank_candidates
 from sensorloom.operators.models import evaluate_all, load_champion, save_champion, train_all
 from sensorloom.operators.prep import (
+    category_counts,
     feature_types,
     fit,
     fit_numeric,
@@ -50,7 +51,7 @@ def median_imputation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SEGMENT_SQL = """
-segments AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 211 = 0 THEN 'RARE ' || (c_custkey % 3) ELSE c_mktsegment END AS segment FROM customer),
+segments AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 101 = 1 THEN 'RARE ' || (c_custkey % 3) ELSE c_mktsegment END AS segment FROM customer),
 mode_ AS (SELECT segment AS mode FROM segments WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 seen AS (SELECT c_custkey, coalesce(segment, mode) AS segment FROM segments, mode_),
 counts AS (SELECT segment, count(*) AS n FROM seen GROUP BY 1)
@@ -59,13 +60,13 @@ counts AS (SELECT segment, count(*) AS n FROM seen GROUP BY 1)
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    segment = F.when(k % 7 == 0, F.lit(None)).when(k % 211 == 0, F.concat(F.lit("RARE "), (k % 3).cast("string"))).otherwise(F.col("c_mktsegment"))
+    segment = F.when(k % 7 == 0, F.lit(None)).when(k % 101 == 1, F.concat(F.lit("RARE "), (k % 3).cast("string"))).otherwise(F.col("c_mktsegment"))
     return v.table(spark, sf, "customer").select("c_custkey", segment.alias("segment"))
 
 
 @query("k03_mode_imputation", v.sql_with(_SEGMENT_SQL, "SELECT segment, count(*) AS n FROM segments WHERE segment IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"))
 def mode_imputation(spark: SparkSession, sf: str) -> DataFrame:
-    return most_frequent(_segments(spark, sf), "segment")
+    return most_frequent(category_counts(_segments(spark, sf), "segment")).withColumnRenamed("value", "segment")
 
 
 def _scaled_sql(c: str) -> str:
