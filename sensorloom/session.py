@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# The JVM compiles no method above 8,000 bytes of bytecode. Spark's own limit is far higher, so a
-# stage with many text expressions would run in the interpreter; below this limit Spark splits it.
-SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+SETTINGS = {
+    # The JVM compiles no method above 8,000 bytes of bytecode. Spark's own limit is far higher, so
+    # a stage with many text expressions would run in the interpreter; below it Spark splits them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Window frames cost far more time than bytes: small partitions are kept apart, so that a few
+    # districts do not end up in one task. Large shuffles are not affected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:
