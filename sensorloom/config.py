@@ -98,7 +98,7 @@ SENTINELS = (
     "NA", "N/A", "NULL", "null", "na", "n/a", "None", "none", "NONE", "nan", "NaN", "--", "-",
 )
 
-# Cells the reference's CSV reader treats as missing before any trimming.
+# Cells that pandas reads as missing, before any trimming.
 CSV_NULL_MARKERS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",

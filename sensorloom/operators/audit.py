@@ -98,12 +98,13 @@ def audit_status(rows: Column, cells: Column, missing: Column, duplicates: Colum
     )
 
 
-def audit_report(df: DataFrame, dataset: str, name: str) -> DataFrame:
+def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFrame:
     """One row: size, types, missing and repeated rows, ranges, stations, districts, verdict.
 
     Copies are folded first; every other figure is then weighted by how often a row occurs, so the
     table is read and shuffled once. District names are gathered as sets: each task passes on
-    every name once, as many as there are districts.
+    every name once, as many as there are districts. With a name given, the report says whether
+    a district holds it.
     """
     columns = df.columns
     folded = df.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
@@ -129,7 +130,7 @@ def audit_report(df: DataFrame, dataset: str, name: str) -> DataFrame:
         F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"_m{i}") for i in range(len(columns))])
     )
     cells = F.col("n_rows") * len(columns)
-    present = F.exists("_districts", lambda d: F.lower(d).contains(name.lower()))
+    present = F.exists("_districts", lambda d: F.lower(d).contains(name.lower())) if name else F.lit(None).cast("boolean")
     return stats.select(
         F.lit(dataset).alias("dataset_name"),
         "n_rows",

@@ -19,6 +19,7 @@ from sensorloom.functions.names import (
 from sensorloom.sources.scratch import written
 
 NUMERIC_VOTE_SHARE = 0.5
+COPIES = "_copies"
 
 
 def col(name: str) -> Column:
@@ -173,29 +174,42 @@ def standardise(df: DataFrame, dataset: str, source_file: str | Column) -> DataF
     )
 
 
+def fold_copies(df: DataFrame) -> DataFrame:
+    """Distinct rows of cleaned text and how often each occurs; copies are compared before any cast."""
+    text = clean_missing(df.toDF(*trimmed_names(df.columns)))
+    return text.groupBy(*[col(c) for c in text.columns]).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def numeric_winners(folded: DataFrame) -> list[str]:
+    """Columns the vote makes numeric, once the datetime columns have theirs."""
+    rows = convert_datetimes(drop_empty_rows(folded.drop(COPIES)))
+    return [r["column"] for r in numeric_votes(rows).where("numeric").collect()]
+
+
+def clean_folded(folded: DataFrame, category: str, numeric: Sequence[str]) -> DataFrame:
+    """The cleaning steps after de-duplication, in their fixed order."""
+    rows = convert_datetimes(drop_empty_rows(folded.drop(COPIES)))
+    return apply_range(keep_valid_coordinates(convert_numerics(rows, numeric)), category)
+
+
 def clean(df: DataFrame, category: str, numeric: Sequence[str] | None = None) -> DataFrame:
-    """All cleaning steps in their fixed order; copies are compared as text, before any cast.
+    """All cleaning steps.
 
     With the numeric columns given, nothing runs until the result is used. Otherwise the distinct
     rows are written once, because both the vote and the casts that follow it read them.
     """
-    original = df.columns
-    df = drop_repeated_rows(clean_missing(df.toDF(*trimmed_names(original))))
+    folded = fold_copies(df)
     if numeric is None:
-        df = written(df)
-    df = convert_datetimes(drop_empty_rows(df))
-    df = keep_valid_coordinates(convert_numerics(df, numeric))
-    return keep_column_order(apply_range(df, category), original)
+        folded = written(folded)
+        numeric = numeric_winners(folded)
+    return keep_column_order(clean_folded(folded, category, numeric), df.columns)
 
 
-def cleaning_report(raw: DataFrame, dataset: str, category: str, numeric: Sequence[str]) -> DataFrame:
-    """Row counts of each cleaning step, in one pass over the grouped raw rows."""
-    text = clean_missing(raw.toDF(*trimmed_names(raw.columns)))
-    names = text.columns
-    distinct = text.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
+def cleaning_report(folded: DataFrame, dataset: str, category: str, numeric: Sequence[str]) -> DataFrame:
+    """Row counts of each cleaning step, in one pass over the folded rows."""
+    names = [c for c in folded.columns if c != COPIES]
     filled = F.greatest(*[col(c).isNotNull() for c in names]) if len(names) > 1 else col(names[0]).isNotNull()
-    distinct = distinct.withColumn("_filled", filled)
-    typed = convert_numerics(convert_datetimes(distinct), numeric)
+    typed = convert_numerics(convert_datetimes(folded.withColumn("_filled", filled)), numeric)
     located = valid_coordinates(typed)
     typed = typed.withColumn("_located", F.lit(True) if located is None else located)
 
@@ -214,9 +228,9 @@ def cleaning_report(raw: DataFrame, dataset: str, category: str, numeric: Sequen
     for c in names:
         has_null = has_null | col(c).isNull()
     counts = typed.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum(COPIES), F.lit(0)).alias("rows_before"),
         F.count_if(kept).alias("rows_after"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows_removed"),
+        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicate_rows_removed"),
         F.count_if(~F.col("_filled")).alias("empty_rows_removed"),
         F.count_if(F.col("_filled") & ~F.col("_located")).alias("invalid_coordinates_removed"),
         F.count_if(kept & F.col("_changed")).alias("invalid_sensor_values_removed"),

@@ -28,8 +28,9 @@ from sensorloom.config import (
     TargetSpec,
     default_features,
 )
+from sensorloom.operators.audit import audit_report
 from sensorloom.operators.checks import require, require_unique
-from sensorloom.operators.clean import clean, col
+from sensorloom.operators.clean import clean_folded, cleaning_report, col, fold_copies, numeric_winners
 from sensorloom.operators.district_day import (
     aggregate_violations,
     aggregation_report,
@@ -38,11 +39,13 @@ from sensorloom.operators.district_day import (
     require_categories,
     union_files,
 )
+from sensorloom.operators.drift import drift_status, schema_relation
 from sensorloom.operators.feature_checks import feature_table_report, require_valid_features
 from sensorloom.operators.features import build_features
 from sensorloom.operators.master import category_steps, master_report, master_table
 from sensorloom.operators.models import evaluate_all, load_champion, save_champion, train_all
 from sensorloom.operators.prep import fit_transform, prep_report
+from sensorloom.operators.profile import column_profile
 from sensorloom.operators.scoring import accepted, with_payload_error
 from sensorloom.operators.split import check_continuity, check_cuts, continuity, cut_dates, split_report, with_split
 from sensorloom.operators.split_checks import check_same_schema, check_split_schema
@@ -50,6 +53,7 @@ from sensorloom.operators.target import check_leakage, check_target, check_targe
 from sensorloom.session import tune
 from sensorloom.sources.files import SplitBundle, read_raw_csv, read_table
 from sensorloom.sources.fingerprint import table_fingerprint
+from sensorloom.sources.scratch import written
 from sensorloom.sources.sinks import write_report, write_splits, write_table
 
 
@@ -76,19 +80,43 @@ def typed_readings(cleaned: DataFrame, category: str) -> DataFrame:
     )
 
 
-def clean_readings(spark: SparkSession, paths: Mapping[str, str | Sequence[str]], out: str) -> DataFrame:
+def dataset_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
+
+
+def clean_file(spark: SparkSession, path: str, category: str, out: str, name_to_find: str | None = None) -> DataFrame:
+    """Clean one raw file, write the result with its reports, and return it.
+
+    The distinct rows are written once; the vote, the casts and the report all read them.
+    """
+    name = dataset_name(path)
+    folded = written(fold_copies(read_raw_csv(spark, path)))
+    numeric = numeric_winners(folded)
+    write_report(cleaning_report(folded, name, category, numeric), f"{out}/reports/cleaning/{name}")
+    write_table(clean_folded(folded, category, numeric), f"{out}/cleaned/{name}")
+    cleaned = read_table(spark, f"{out}/cleaned/{name}")
+    write_report(audit_report(cleaned, name, name_to_find), f"{out}/reports/audit/{name}")
+    write_report(column_profile(cleaned), f"{out}/reports/profile/{name}")
+    return cleaned
+
+
+def clean_readings(
+    spark: SparkSession, paths: Mapping[str, str | Sequence[str]], out: str, name_to_find: str | None = None
+) -> DataFrame:
     """Clean the raw files of every category and write them as one table of readings.
 
-    Each file (or folder of files with one header) is read by its own header and cleaned by itself.
+    Each file (or folder of files with one header) is read by its own header and cleaned by itself;
+    afterwards the schemas of each category's files are compared.
     """
-    parts = [
-        typed_readings(clean(read_raw_csv(spark, path), category), category)
+    cleaned = {
+        (category, dataset_name(path)): clean_file(spark, path, category, out, name_to_find)
         for category, files in paths.items()
         for path in ([files] if isinstance(files, str) else files)
-    ]
-    readings = union_files(parts)
-    readings.write.mode("overwrite").partitionBy(CATEGORY).parquet(out)
-    return read_table(spark, out)
+    }
+    write_report(drift_status(schema_relation(spark, cleaned)), f"{out}/reports/schemas")
+    readings = union_files([typed_readings(df, category) for (category, _), df in cleaned.items()])
+    readings.write.mode("overwrite").partitionBy(CATEGORY).parquet(f"{out}/readings")
+    return read_table(spark, f"{out}/readings")
 
 
 def aggregate_readings(readings: DataFrame, out: str) -> DataFrame:
@@ -175,7 +203,7 @@ def score(spark: SparkSession, rows: DataFrame, champion_path: str, keep: Sequen
 def run_job(spark: SparkSession, paths: Mapping[str, str | Sequence[str]], out: str, spec: JobSpec = JobSpec()) -> str:
     """All stages; returns the champion's name. Everything it writes lies below `out`."""
     tune(spark)
-    readings = clean_readings(spark, paths, f"{out}/readings")
+    readings = clean_readings(spark, paths, out)
     master = build_master(aggregate_readings(readings, out), out)
     bundle = build_splits(build_feature_table(master, spec.features, out), spec, out)
     return train_champion(prepare_splits(bundle, spec.prep, out), spec.models, out)

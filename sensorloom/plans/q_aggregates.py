@@ -15,7 +15,7 @@ from sensorloom.operators.audit import (
     time_range,
 )
 from sensorloom.operators.checks import null_counts, repeated_keys, repeated_row_count
-from sensorloom.operators.clean import clean, clean_missing, cleaning_report
+from sensorloom.operators.clean import clean, clean_missing, cleaning_report, fold_copies
 from sensorloom.operators.district_day import (
     aggregate_violations,
     aggregation_report,
@@ -169,7 +169,7 @@ def full_audit(spark: SparkSession, sf: str) -> DataFrame:
       (SELECT count(*) FROM cleaned WHERE {" OR ".join(f'"{c}" IS NULL' for c in v.DIRTY_COLUMNS)}) AS rows_with_missing_values)"""),
 )
 def cleaning(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning_report(v.dirty(spark, sf), "humid", "Humidity", v.DIRTY_NUMERIC)
+    return cleaning_report(fold_copies(v.dirty(spark, sf)), "humid", "Humidity", v.DIRTY_NUMERIC)
 
 
 @query(

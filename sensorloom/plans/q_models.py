@@ -116,7 +116,8 @@ def fitted_and_transformed(spark: SparkSession, sf: str) -> DataFrame:
     "k07_prep_report",
     v.on_readings("""SELECT count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'validation') AS validation_rows,
       count(*) FILTER (WHERE split = 'test') AS test_rows, 10 AS numeric_feature_count, 1 AS categorical_feature_count,
-      CAST(10 + (SELECT count(*) FROM (SELECT district FROM train GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT count(*) FROM train))) AS INT) AS output_feature_count,
+      (SELECT CAST(10 + count(*) FILTER (WHERE n >= 0.01 * total) + CASE WHEN bool_or(n < 0.01 * total) THEN 1 ELSE 0 END AS INT)
+        FROM (SELECT district, count(*) AS n, sum(count(*)) OVER () AS total FROM train GROUP BY district)) AS output_feature_count,
       'median' AS numeric_impute_strategy, 'most_frequent' AS categorical_impute_strategy, TRUE AS scale_numeric, 42 AS random_state FROM split"""),
 )
 def report_of_prep(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +155,12 @@ def gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf, BOOSTED)
 
 
-@query("k10_train_all")
+@query(
+    "k10_train_all",
+    v.on_readings("""SELECT model, n_features, train_rows FROM (SELECT unnest(['RandomForestRegressor', 'GBTRegressor']) AS model) m,
+      (SELECT CAST(10 + count(*) FILTER (WHERE n >= 0.01 * total) + CASE WHEN bool_or(n < 0.01 * total) THEN 1 ELSE 0 END AS INT) AS n_features, max(total) AS train_rows
+        FROM (SELECT district, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM train GROUP BY district)) t"""),
+)
 def train_candidates(spark: SparkSession, sf: str) -> DataFrame:
     candidates = train_all(FOREST | BOOSTED, _part(_prepared(spark, sf), "train"), [], "target")
     rows = [(c.name, len(c.features), c.train_rows) for c in candidates]

@@ -62,11 +62,21 @@ def _file_names(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("a01_file_inventory")
+@query(
+    "a01_file_inventory",
+    v.on_events("""SELECT DISTINCT 'category=' || category AS parent_folder, 'Unknown' AS category, '.csv' AS extension, 'RAW' AS status, TRUE AS has_bytes, TRUE AS path_ends_alike
+      FROM readings_events"""),
+)
 def file_inventory_of_readings(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_folder(spark)
     v.readings_events(spark, sf).write.partitionBy("category").csv(folder, header=True)
-    return file_inventory(spark, folder)
+    # Spark names the files and picks their number, so the result keeps what does not depend on it.
+    alike = F.expr("endswith(absolute_path, relative_path)")
+    return (
+        file_inventory(spark, folder)
+        .select("parent_folder", "category", "extension", "status", (F.col("file_size") > 0).alias("has_bytes"), alike.alias("path_ends_alike"))
+        .distinct()
+    )
 
 
 @query(

@@ -88,7 +88,7 @@ def test_clean_and_its_report(spark):
     found = {r["Station"]: (r[time], r[HUMIDITY]) for r in out.collect()}
     day = dt.datetime(2024, 1, 2)
     assert found == {"A": (day, 50.0), "B": (day, None), "D": (day, None)}
-    report = c.cleaning_report(raw, "x", "Humidity", numeric).first().asDict()
+    report = c.cleaning_report(c.fold_copies(raw), "x", "Humidity", numeric).first().asDict()
     assert report == {
         "dataset_name": "x", "category": "Humidity", "rows_before": 6, "rows_after": 3, "duplicate_rows_removed": 1,
         "empty_rows_removed": 1, "invalid_coordinates_removed": 1, "invalid_sensor_values_removed": 1,
@@ -99,9 +99,9 @@ def test_clean_and_its_report(spark):
 def test_cleaning_status(spark):
     schema = f"a string, `{HUMIDITY}` string"
     fine = spark.createDataFrame([("x", "5")], schema)
-    assert c.cleaning_report(fine, "x", "Humidity", [HUMIDITY]).first()["status"] == "CLEAN"
+    assert c.cleaning_report(c.fold_copies(fine), "x", "Humidity", [HUMIDITY]).first()["status"] == "CLEAN"
     gone = spark.createDataFrame([(None, "NA")], schema)
-    assert c.cleaning_report(gone, "x", "Humidity", [HUMIDITY]).first()["status"] == "EMPTY_AFTER_CLEANING"
+    assert c.cleaning_report(c.fold_copies(gone), "x", "Humidity", [HUMIDITY]).first()["status"] == "EMPTY_AFTER_CLEANING"
 
 
 def test_standardise(spark):

@@ -6,7 +6,7 @@ from sensorloom.errors import DataCheckError
 from sensorloom.operators.district_day import aggregate_violations, district_day, require_categories, sorted_for_people
 from sensorloom.operators.master import join_categories, join_steps, match_counts, master_table, one_category
 from sensorloom.plans import views
-from sensorloom.plans.build import JobSpec, run_job, score
+from sensorloom.plans.build import JobSpec, clean_readings, run_job, score
 from sensorloom.sources.files import SplitBundle, file_inventory, read_master, read_table
 from sensorloom.sources.fingerprint import table_fingerprint
 from sensorloom.sources.sinks import write_cleaned_csv
@@ -55,6 +55,28 @@ def test_job_writes_every_stage(spark, job):
     assert len(ready.train.columns) - 1 == prep["output_feature_count"]
 
 
+def test_job_reports_on_every_file(spark, job, raw_files):
+    out, _ = job
+    for name in STEMS.values():
+        cleaning = spark.read.json(f"{out}/reports/cleaning/{name}").first()
+        assert cleaning["rows_after"] == read_table(spark, f"{out}/cleaned/{name}").count()
+        assert cleaning["rows_before"] - cleaning["duplicate_rows_removed"] == cleaning["rows_after"]
+        audit = spark.read.json(f"{out}/reports/audit/{name}").first()
+        assert (audit["duplicate_rows"], audit["latitude_min"], audit["longitude_max"]) == (0, 22.5, 71.5)
+        assert spark.read.json(f"{out}/reports/profile/{name}").count() == 7
+    assert {r["status"] for r in spark.read.json(f"{out}/reports/schemas").collect()} == {"PASS"}
+
+
+def test_files_of_a_category_may_order_their_columns_differently(spark, raw_files, tmp_path):
+    first = spark.read.csv(raw_files["rainfall"], header=True)
+    a, b = str(tmp_path / "rainfall_2021"), str(tmp_path / "rainfall_2022")
+    first.where("`District LGD Code` % 2 = 0").write.csv(a, header=True)
+    first.where("`District LGD Code` % 2 = 1").select(*reversed(first.columns)).write.csv(b, header=True)
+    split = clean_readings(spark, {"rainfall": [a, b]}, str(tmp_path / "two"))
+    whole = clean_readings(spark, {"rainfall": raw_files["rainfall"]}, str(tmp_path / "one"))
+    assert split.exceptAll(whole).count() == 0 and split.count() == whole.count()
+
+
 def test_job_scores_new_rows(spark, job):
     out, _ = job
     ready = SplitBundle.load(spark, f"{out}/prepared")
