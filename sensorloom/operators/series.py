@@ -49,10 +49,16 @@ class Series:
         return Window.partitionBy(*self.group, SEGMENT).orderBy(self.order)
 
     def segment(self, df: DataFrame) -> Column:
-        if isinstance(df.schema[self.order].dataType, T.DateType):
-            days = F.unix_date(self.order)
+        """Number of the time segment a row lies in; it never falls as the order column rises."""
+        c, kind = F.col(self.order), df.schema[self.order].dataType
+        if isinstance(kind, T.DateType):
+            days = F.unix_date(c)
+        elif isinstance(kind, T.TimestampNTZType):
+            # Read off the clock fields, because a conversion would pass through the session's zone.
+            clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+            days = F.unix_date(F.to_date(c)) + clock / SECONDS_A_DAY
         else:
-            days = F.unix_micros(F.col(self.order).cast("timestamp")) / (SECONDS_A_DAY * 1e6)
+            days = F.unix_micros(c) / (SECONDS_A_DAY * 1e6)
         return F.floor(days / F.lit(float(self.segment_days)))
 
 

@@ -89,3 +89,19 @@ def test_bad_lags_raise(daily, lags):
 
 def test_missing_column_may_be_skipped(daily):
     assert lag_features(daily, {"nope": (1,)}, strict=False).columns == daily.columns
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_segments_of_times(spark, kind):
+    """Readings seconds apart, one group with most of them, in segments of about four minutes."""
+    rng = random.Random(11)
+    rows, moment = [], dt.datetime(2024, 3, 30, 23, 0)
+    for i in range(600):
+        moment += dt.timedelta(seconds=rng.randint(1, 40))
+        rows.append((0 if i % 3 else i % 9, moment.isoformat(sep=" "), float(i)))
+    df = spark.createDataFrame(rows, "g int, t string, v double")
+    df = df.withColumn("t", F.col("t").cast(kind))
+    out = lag_features(df, {"v": (1, 5)}, Series(("g",), "t", segment_days=0.003)).toPandas()
+    out = out.sort_values(["g", "t"])
+    for k in (1, 5):
+        np.testing.assert_allclose(out[f"v_lag_{k}"], out.groupby("g")["v"].shift(k))
