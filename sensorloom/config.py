@@ -238,3 +238,8 @@ class PrepSpec:
     min_frequency: float = 0.01
     random_state: int = 42
     drop: tuple[str, ...] = field(default=())
+
+    def __post_init__(self) -> None:
+        # It also bounds how many values of a column can have a column of their own.
+        if not 0.0 < self.min_frequency <= 1.0:
+            raise ValueError(f"min_frequency must lie above 0 and be at most 1, got {self.min_frequency}")
