@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sensorloom.llm.ngram_join import ngram_join
+from sensorloom.llm.token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at a Jaccard similarity of 0.9."""
     return ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, packed, written in order and read back."""
+    import public_tokenizers
+
+    found = token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
