@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.llm.language_id import fit_languages, held_out, identify_languages
+from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.ngram_join import ngram_join
 from sensorloom.llm.token_files import token_files
 
@@ -42,3 +44,31 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the documents that are not held out, applied to all."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out()).select("text", "lang"))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op1_mix_sources",
+    """WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    means AS (SELECT source, (SELECT sum(n) FROM sizes) * 1.0::DOUBLE / (SELECT count(*) FROM sizes) / n AS mean FROM sizes),
+    terms AS (SELECT source, k, CASE WHEN k = 0 THEN -mean ELSE ln(mean) - ln(k) END AS term, mean
+        FROM means, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(mean + 12 * sqrt(mean) + 20) AS BIGINT))) AS k)),
+    logs AS (SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS log FROM terms),
+    below AS (SELECT source, k, sum(exp(log)) OVER (PARTITION BY source ORDER BY k) AS c FROM logs),
+    lists AS (SELECT source, list(c ORDER BY k) AS cs FROM below GROUP BY source),
+    drawn AS (SELECT d.*, CAST(len(list_filter(cs, lambda c: c <= CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT)
+        / 4503599627370496.0::DOUBLE)) AS INTEGER) AS n_copies FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
+    SELECT drawn.*, CAST(copy AS INTEGER) AS copy, md5('mix:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy) AS mix_key
+    FROM drawn, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS copy) WHERE n_copies > 0""",
+)
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources at equal weight, as many rows as there are documents on average."""
+    return mix_sources(table(spark, sf_dir, "documents"))
