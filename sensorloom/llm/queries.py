@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.llm.decontaminate import contaminations
 from sensorloom.llm.language_id import fit_languages, held_out, identify_languages
 from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.ngram_join import ngram_join
@@ -40,8 +43,6 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_token_files")
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, packed, written in order and read back."""
-    import public_tokenizers
-
     found = token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -72,3 +73,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources at equal weight, as many rows as there are documents on average."""
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each benchmark item of which it holds a passage."""
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
