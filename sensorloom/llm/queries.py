@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.chat_format import chat_digests, format_chats
 from sensorloom.llm.decontaminate import contaminations
+from sensorloom.llm.html_text import extract_text
 from sensorloom.llm.language_id import fit_languages, held_out, identify_languages
+from sensorloom.llm.license_scan import scan_licenses
 from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.ngram_join import ngram_join
+from sensorloom.llm.quality import fit_quality, score_quality
 from sensorloom.llm.token_files import token_files
 from sensorloom.llm.topk_index import top_k
 
@@ -103,3 +106,22 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", attack), (-7, 1, "assistant", attack)], "conv_id long, turn long, role string, text string")
     found = format_chats(rows.unionByName(more))
     return chat_digests(found)
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the scorer, trained on what the labellers make of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs)).select("doc_id", "weak_label", "quality")
+
+
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each license notice that it holds."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
