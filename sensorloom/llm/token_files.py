@@ -19,6 +19,8 @@ system. Their columns (shard, segment, first_token, n_docs, n_tokens) say which
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -128,38 +130,73 @@ class Segment:
         return self.read(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+#: Words of letters that have one code point in either case, and what may follow: their ids are those of
+#: the lower-case word and of the marks, which the tokenizers meant here split from letters.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([.,!|]*)")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(definition: str):
+    """The tokenizer, the ids of words known so far, and for each id whether it ends a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(definition), {}
+    tokenizer = Tokenizer.from_str(definition)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return tokenizer, {}, ends
+
+
+def _ids_each(tokenizer, words: list[str]) -> Iterator[bytes]:
+    for e in tokenizer.encode_batch(words, add_special_tokens=False):
+        yield array("I", e.ids).tobytes()
+
+
+def _ids_together(tokenizer, words: list[str], ends: np.ndarray) -> Iterator[bytes]:
+    """Ids of words of letters, from one text of all of them, cut after each id that ends a word."""
+    ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    cuts = (np.flatnonzero(ends[ids]) + 1) * 4
+    if len(cuts) != len(words) or (len(cuts) and cuts[-1] != 4 * len(ids)):
+        return _ids_each(tokenizer, words)
+    data = ids.tobytes()
+    return (data[x:y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
+
+
+def _learn(tokenizer, known: dict[str, bytes], ends: np.ndarray, words: list[str]) -> None:
+    """Add the ids of the words to known."""
+    simple = {w: m.groups() for w in words if (m := _SIMPLE.fullmatch(w))}
+    letters = sorted({m[0].lower() for m in simple.values()} - known.keys())
+    for at in range(0, len(letters), 5_000):
+        part = letters[at : at + 5_000]
+        known.update(zip(part, _ids_together(tokenizer, part, ends), strict=True))
+    others = [w for w in {*words, *(m[1] for m in simple.values())} if w not in simple and w not in known]
+    for at in range(0, len(others), 5_000):
+        part = others[at : at + 5_000]
+        known.update(zip(part, _ids_each(tokenizer, part), strict=True))
+    for w, (letter, marks) in simple.items():
+        known[w] = known[letter.lower()] + known[marks] if marks else known[letter.lower()]
 
 
 def encode_texts(definition: str, texts: list[str], end_id: int) -> list[np.ndarray]:
     """Ids of each text and the end id.
 
-    No token of the tokenizers meant here reaches over white space, so that a text is encoded space
-    by space and the ids of words are remembered.
+    No token of the tokenizers meant here reaches over white space, so that a text is encoded blank by
+    blank and the ids of words are remembered.
     """
-    tokenizer, cache = _tokenizer(definition)
+    tokenizer, cache, ends = _tokenizer(definition)
     end = np.array([end_id], "<u4").tobytes()
-    out = []
-    for text in texts:
-        words = text.replace("\n", " ").split(" ")
-        unknown = [w for w in set(words) if w not in cache]
-        more: dict[str, bytes] = {}
-        for at in range(0, len(unknown), 10_000):
-            part = unknown[at : at + 10_000]
-            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (cache if len(w) <= CACHE_CHARS else more)[w] = np.array(e.ids, "<u4").tobytes()
-        if more:
-            ids = b"".join([cache[w] if w in cache else more[w] for w in words])
-        else:
-            ids = b"".join(map(cache.__getitem__, words))
-        out.append(np.frombuffer(ids + end, "<u4"))
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+    split = [text.replace("\n", " ").split(" ") for text in texts]
+    unknown = set().union(*split) - cache.keys()
+    long = {w for w in unknown if len(w) > CACHE_CHARS}
+    _learn(tokenizer, cache, ends, list(unknown - long))
+    for w, ids in zip(long, _ids_each(tokenizer, list(long)), strict=True):
+        cache[w] = ids
+    out = [np.frombuffer(b"".join(map(cache.__getitem__, words)) + end, "<u4") for words in split]
+    for w in long:
+        del cache[w]
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
     return out
 
 
