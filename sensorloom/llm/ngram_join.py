@@ -27,8 +27,8 @@ from sensorloom.sources.scratch import written
 #: Part hashes that a task gathers before it passes them on, and the number in a shuffled bucket.
 FLUSH = 2_000_000
 BUCKET = 100_000
-#: Bytes of sorted shingle hashes in a tile.
-TILE_BYTES = 8_000_000
+#: Bytes of sorted shingle hashes in a tile, and sets.
+TILE_BYTES, TILE_SETS = 8_000_000, 512
 
 
 def band_of(n: int, percent: int) -> int:
@@ -228,7 +228,7 @@ def _compare(percent: int):
 
 def _tiles(sets: DataFrame) -> DataFrame:
     """The sets, once for each tile they are compared in; side 0, 1, or 2 for both."""
-    totals = written(sets.groupBy("cluster", "band").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).alias("parts")))
+    totals = written(sets.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.sum("n") * 8 / TILE_BYTES, F.count(F.lit(1)) / TILE_SETS)).alias("parts")))
     near = {d: totals.select("cluster", (F.col("band") - d).alias("band"), F.col("parts").alias(name)) for d, name in ((1, "above"), (-1, "below"))}
     parts = written(totals.join(near[1], ["cluster", "band"], "left").join(near[-1], ["cluster", "band"], "left"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
