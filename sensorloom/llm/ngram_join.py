@@ -2,7 +2,8 @@
 
 Sets that differ in at most H shingles, dealt by hash into H + 1 parts, have a part in common. Two
 sets that link have sizes in one band or in neighbouring ones, and the sizes of a band bound H, so the
-hashes of parts find every pair that can link. Pairs that share a part make up candidate clusters;
+hashes of parts find the pairs that can link (all of them for 0.88 and more; for less see part_hashes).
+Pairs that share a part make up candidate clusters;
 the members of a cluster are compared in tiles of bounded bytes. A tile holds sets of one size band
 and of the same or the next one. In a tile, the bits in which two hashed bitmaps differ bound the
 overlap from above; pairs that stay below the bound are intersected exactly, as sorted arrays.
@@ -24,6 +25,8 @@ from sensorloom.llm.components import components
 from sensorloom.llm.wordhash import mix, shingle_set, word_hashes
 from sensorloom.sources.scratch import written
 
+#: Sets up to SMALL shingles are found by first shingles where parts are small; see part_hashes.
+SMALL = 64
 #: Part hashes that a task gathers before it passes them on, and the number in a shuffled bucket.
 FLUSH = 2_000_000
 BUCKET = 100_000
@@ -43,9 +46,22 @@ def most_different(tile: int, percent: int) -> int:
 
 
 def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """One hash for each part of the set, in the tile of its own band and the one below it."""
-    band = band_of(len(shingles), percent)
+    """One hash for each part of the set, in the tile of its own band and the one below it.
+
+    Below a similarity of about 0.88 a part holds few shingles, and one with none or one would join
+    sets that have little in common. There, parts with fewer than two are left out, which loses a pair
+    only if all parts it has in common are so small: with more than SMALL shingles, less than one
+    pair in 10,000 of those just at the threshold. Smaller sets are found by their first shingles in
+    the order of the hashes, so many that linked sets share one of them for certain.
+    """
+    n = len(shingles)
+    sparse = (100 + percent) < 8 * 2 * (100 - percent)
     out = []
+    if sparse and n * percent <= SMALL * 100:
+        out.append(mix(shingles[: n + (-percent * n // 100) + 1] ^ np.uint64(0x5A5A)))
+    if sparse and n <= SMALL:
+        return out[0]
+    band = band_of(n, percent)
     for tile in (band - 1, band):
         parts = most_different(tile, percent) + 1
         salt = np.uint64(tile + 2)
@@ -56,7 +72,7 @@ def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(parts, np.uint64)
         sums[part[first]] = np.add.reduceat(mix(shingles[order] ^ np.uint64(0xA5A5)), first)
         sums += mix(np.arange(parts, dtype=np.uint64) + (salt << np.uint64(40)))
-        out.append(mix(sums))
+        out.append(mix(sums)[np.bincount(part, minlength=parts) >= 2] if sparse else mix(sums))
     return np.concatenate(out)
 
 
