@@ -11,14 +11,13 @@ BLANK = 32
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    every = [chr(c) for c in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in every), bool, len(every))
-    digit = np.fromiter((c.isdigit() for c in every), bool, len(every))
-    lower = np.arange(len(every), dtype=np.uint32)
-    for c in np.flatnonzero(letter):
-        x = every[c].lower()
-        if len(x) == 1:  # one code point for another, so that places stay
-            lower[c] = ord(x)
+    letter, digit = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c in map(chr, range(0x110000)):
+        if c.isalnum() or c.isdigit():
+            letter[ord(c)], digit[ord(c)] = c.isalpha(), c.isdigit()
+            if len(c.lower()) == 1:  # one code point for another, so that places stay
+                lower[ord(c)] = ord(c.lower())
     return letter, letter | digit, lower
 
 

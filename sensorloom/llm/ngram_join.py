@@ -28,7 +28,7 @@ from sensorloom.sources.scratch import written
 #: Sets up to SMALL shingles are found by first shingles where parts are small; see part_hashes.
 SMALL = 64
 #: Part hashes that a task gathers before it passes them on, and the number in a shuffled bucket.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BUCKET = 100_000
 #: Bytes of sorted shingle hashes in a tile, and sets.
 TILE_BYTES, TILE_SETS = 8_000_000, 512

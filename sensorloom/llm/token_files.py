@@ -40,7 +40,7 @@ SEGMENT_IDS = 2_000_000
 SHARD_CHARS = 1_000_000
 LEAST_SHARDS, MOST_SHARDS = 64, 16_384
 #: Words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 700_000, 64
 
 MAGIC = b"TPK1"
 
