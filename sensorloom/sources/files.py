@@ -41,9 +41,13 @@ def file_inventory(spark: SparkSession, folder: str, glob: str = "*.csv") -> Dat
     )
 
 
+#: A quote inside a quoted cell is doubled, as in the raw files; a backslash is an ordinary character.
+DIALECT = {"quote": '"', "escape": '"'}
+
+
 def csv_header(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     """Column names as the file spells them."""
-    return spark.read.csv(paths, header=True, inferSchema=False).columns
+    return spark.read.csv(paths, header=True, inferSchema=False, **DIALECT).columns
 
 
 def read_raw_csv(
@@ -51,14 +55,16 @@ def read_raw_csv(
     paths: str | Sequence[str],
     columns: Sequence[str] | None = None,
     blank_markers: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Every column as text with its name trimmed; Spark's input splits replace chunked reading.
 
-    With the columns given, the scan starts without looking at the data first.
+    With the columns given, the scan starts without looking at the data first. Cells that hold line
+    ends need multi_line, which reads each file in one task.
     """
     names = list(columns) if columns else csv_header(spark, paths)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True)
+    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, multiLine=multi_line, **DIALECT)
     raw = raw.toDF(*trimmed_names(names))
     if not blank_markers:
         return raw
@@ -70,7 +76,7 @@ def read_with_file_name(
 ) -> DataFrame:
     """Raw text rows with the file each came from."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True)
+    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, **DIALECT)
     names = trimmed_names(columns)
     return raw.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)],
@@ -93,7 +99,7 @@ def read_master(spark: SparkSession, parquet: str, csv: str | None = None) -> Da
     except Exception as err:
         if csv is None or "PATH_NOT_FOUND" not in str(err):
             raise
-    df = spark.read.csv(csv, header=True, inferSchema=True)
+    df = spark.read.csv(csv, header=True, inferSchema=True, **DIALECT)
     return df.withColumn("date", F.to_date("date"))
 
 
