@@ -212,6 +212,13 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
 
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each key is in known, which is sorted: the cost of a page does not grow with all templates."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def _extract(known: object):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_blocks", pa.int64())])
 
@@ -223,7 +230,7 @@ def _extract(known: object):
                 page = parse(source)
                 gone, main, has_main = marked(page)
                 keys, may = np.array(subtree_keys(page, host_of(url)), np.int64), removable(page, main, has_main)
-                recurring = np.isin(keys, np.array(own[i] or [], np.int64) if known is None else known.value)
+                recurring = among(keys, np.sort(np.array(own[i] or [], np.int64)) if known is None else known.value)
                 gone = _within(page, [g or (m and bool(r)) for g, m, r in zip(gone, may, recurring, strict=True)])
                 text = main_text(page, gone, main)
                 texts.append(text)
@@ -267,7 +274,7 @@ def extract_text(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     templates = written(template_subtrees(rows, least).select("subtree"))
     if templates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = np.array([r[0] for r in templates.toLocalIterator()], np.int64)
+        known = np.sort(np.array([r[0] for r in templates.toLocalIterator()], np.int64))
         return map_arrow(rows, *_extract(rows.sparkSession.sparkContext.broadcast(known)))
     keyed = rows.withColumn("page_key", F.xxhash64("page_id", "url", "html"))
     own = map_arrow(keyed, _page_subtrees, "page_key long, subtree long").join(templates, "subtree")
