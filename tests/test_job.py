@@ -176,3 +176,11 @@ def test_fingerprint_ignores_order_and_partitions(spark, sf):
 def test_sorted_for_people_puts_null_last(spark):
     df = spark.createDataFrame([(None,), (2,), (1,)], "k int")
     assert [r[0] for r in sorted_for_people(df, "k").collect()] == [1, 2, None]
+
+
+def test_fingerprint_tells_cells_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), ("a", "\\N"), ("a", "-"), ("a", ""), ("1:a", "")]
+    digests = {table_fingerprint(spark.createDataFrame([r], "x string, y string")).first()["digest_sum_4"] for r in rows}
+    assert len(digests) == len(rows)
+    typed = [table_fingerprint(spark.createDataFrame([(1,)], f"x {t}")).first() for t in ("int", "bigint")]
+    assert typed[0] != typed[1]
