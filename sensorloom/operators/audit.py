@@ -16,6 +16,7 @@ from sensorloom.config import (
 )
 from sensorloom.functions.casts import to_moment, to_number
 from sensorloom.functions.names import find_audit_role
+from sensorloom.operators.checks import nan_as_missing
 from sensorloom.operators.clean import col
 
 
@@ -106,6 +107,7 @@ def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFr
     every name once, as many as there are districts. With a name given, the report says whether
     a district holds it.
     """
+    df = nan_as_missing(df)
     columns = df.columns
     folded = df.groupBy(*[col(c) for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
     roles = _role_columns(df)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.errors import DataCheckError
+from sensorloom.functions.casts import nan_to_null
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,8 +39,15 @@ def key_sample(df: DataFrame, keys: Sequence[str], n: int = 5) -> DataFrame:
     return repeated_keys(df, keys).orderBy(*keys).limit(n)
 
 
+def nan_as_missing(df: DataFrame) -> DataFrame:
+    """The table with NULL for NaN in its float columns, types kept."""
+    kinds = {f.name: f.dataType for f in df.schema.fields if f.dataType.simpleString() in ("float", "double")}
+    return df.withColumns({c: nan_to_null(F.col(f"`{c}`")).cast(t) for c, t in kinds.items()}) if kinds else df
+
+
 def null_counts(df: DataFrame) -> DataFrame:
-    """One row for each column, from a single pass over the table."""
+    """Missing cells (NULL or NaN), one row for each column, from a single pass over the table."""
+    df = nan_as_missing(df)
     counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
     return counts.select(
         F.inline(

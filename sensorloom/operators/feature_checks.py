@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sensorloom.errors import DataCheckError
 from sensorloom.functions.scalars import is_infinite
-from sensorloom.operators.checks import float_columns, numeric_columns
+from sensorloom.operators.checks import float_columns, nan_as_missing, numeric_columns
 
 
 def infinite_counts(df: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def feature_table_report(df: DataFrame, required: Sequence[str]) -> DataFrame:
     }
     missing = [c for c in required if c not in df.columns]
     # Copies are folded first, and every figure is read off the folded rows: one pass, one shuffle.
+    df = nan_as_missing(df)
     folded = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     flags = folded.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalars import half_even
-from sensorloom.operators.checks import numeric_columns
+from sensorloom.operators.checks import nan_as_missing, numeric_columns
 from sensorloom.operators.clean import col
 from sensorloom.operators.quantiles import exact_quantiles
 
@@ -50,7 +50,11 @@ def _by_column(df: DataFrame, metrics: dict[str, dict[str, Column]], types: dict
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """Type, missing values, exact distinct values and, for numbers, range, mean and spread."""
+    """Type, missing values, exact distinct values and, for numbers, range, mean and spread.
+
+    NaN is missing, as NULL is.
+    """
+    df = nan_as_missing(df)
     numeric = set(numeric_columns(df))
     types = {
         "n_rows": "bigint",
@@ -99,6 +103,7 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     Text columns have the first three, numeric columns the others. Between equally frequent values
     the smallest wins.
     """
+    df = nan_as_missing(df)
     columns = list(columns or df.columns)
     numeric = [c for c in numeric_columns(df) if c in columns]
     text = [c for c in columns if c not in numeric]
