@@ -87,22 +87,32 @@ def station_days(df: DataFrame) -> DataFrame:
 
 
 def district_day(df: DataFrame) -> DataFrame:
-    """Sum of rainfall, mean of every other category, distinct stations, and the earliest label."""
-    # min_by skips rows whose order is NULL, so a missing label never wins over a present one.
-    label_order = F.when(F.col(DISTRICT).isNotNull(), F.struct("first_seen", STATION, DISTRICT))
-    return (
+    """Sum of rainfall, mean of every other category, distinct stations, and the earliest label.
+
+    The partial results are dealt by the final key, so the stations of a group are counted where
+    the group is: grouping by station and then without it needs no further shuffle.
+    """
+    # min skips NULL, so a missing label never wins over a present one.
+    label = F.when(F.col(DISTRICT).isNotNull(), F.struct("first_seen", STATION, DISTRICT))
+    keys = (CATEGORY, DISTRICT_CODE, DATE)
+    by_station = (
         station_days(df)
-        .groupBy(CATEGORY, DISTRICT_CODE, DATE)
+        .repartition(*keys)
+        .groupBy(*keys, STATION)
+        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.min(label).alias("label"))
+    )
+    return (
+        by_station.groupBy(*keys)
         .agg(
             F.sum("total").alias("total"),
             F.sum("n").alias("n"),
-            F.count_distinct(STATION).alias(STATION_COUNT),
-            F.min_by(DISTRICT, label_order).alias(DISTRICT),
+            F.count(STATION).alias(STATION_COUNT),
+            F.min("label").alias("label"),
         )
         .select(
             CATEGORY,
             DISTRICT_CODE,
-            DISTRICT,
+            F.col("label").getField(DISTRICT).alias(DISTRICT),
             DATE,
             by_method(F.col(CATEGORY), F.col("total"), F.col("total") / F.col("n")).alias(MEASUREMENT),
             STATION_COUNT,

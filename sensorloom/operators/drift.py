@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.casts import to_number
@@ -47,64 +47,70 @@ def observed_schema(cells: DataFrame) -> DataFrame:
     return counts.select("category", "dataset", "column", kind.alias("data_type"), "position")
 
 
-def schema_issues(schemas: DataFrame) -> DataFrame:
-    """Missing, unexpected, retyped and reordered columns, as errors or warnings."""
-    first = schemas.groupBy("category").agg(F.min("dataset").alias("baseline"))
-    tagged = schemas.join(first, "category")
-    base = tagged.where("dataset = baseline").select(
-        "category", "column", F.col("data_type").alias("base_type"), F.col("position").alias("base_position")
-    )
-    # Every data set against every column its baseline has; a schema relation is a few rows a file.
-    expected = tagged.select("category", "dataset").distinct().join(base, "category")
-    found = tagged.select("category", "dataset", "column", "data_type", "position")
-    both = expected.join(found, ["category", "dataset", "column"], "full_outer")
-    numeric = F.col("base_type").isin(*NUMERIC_TYPES) & F.col("data_type").isin(*NUMERIC_TYPES)
-    issue = (
-        F.when(F.col("position").isNull(), F.lit("missing column"))
-        .when(F.col("base_position").isNull(), F.lit("unexpected column"))
-        .when((F.col("base_type") != F.col("data_type")) & numeric, F.lit("compatible numeric type"))
-        .when(F.col("base_type") != F.col("data_type"), F.lit("type mismatch"))
+def _issues(schemas: DataFrame) -> DataFrame:
+    """(category, dataset, issues): every data set beside its category's first one, as arrays.
+
+    An array holds the columns of one file. The relation is read once and joined with nothing.
+    """
+    by_file = schemas.groupBy("category", "dataset").agg(
+        F.sort_array(F.collect_list(F.struct("position", "column", "data_type"))).alias("found")
     )
-    severity = F.when(F.col("issue") == "compatible numeric type", "warning").otherwise("error")
-    by_column = both.withColumn("issue", issue).where("issue IS NOT NULL")
-    # Common columns are out of order if their baseline order differs from their own.
-    w = Window.partitionBy("category", "dataset")
-    common = both.where("position IS NOT NULL AND base_position IS NOT NULL").withColumns(
+    first = F.first("found").over(Window.partitionBy("category").orderBy("dataset"))
+    both = by_file.withColumn("base", first).withColumns(
         {
-            "rank": F.row_number().over(w.orderBy("position")),
-            "base_rank": F.row_number().over(w.orderBy("base_position")),
+            "names": F.transform("found", lambda x: x["column"]),
+            "base_names": F.transform("base", lambda x: x["column"]),
         }
     )
-    order = (
-        common.where("rank <> base_rank")
-        .select("category", "dataset")
-        .distinct()
-        .select("category", "dataset", F.lit(None).cast("string").alias("column"), F.lit("column order").alias("issue"))
-    )
-    return (
-        by_column.select("category", "dataset", "column", "issue", severity.alias("severity"))
-        .unionByName(order.withColumn("severity", F.lit("warning")))
-    )
 
+    def issue(column: Column, text: Column, severity: Column) -> Column:
+        return F.struct(column.alias("column"), text.alias("issue"), severity.alias("severity"))
 
-def drift_status(schemas: DataFrame) -> DataFrame:
-    """Errors, warnings and a verdict for each data set."""
-    issues = schema_issues(schemas)
-    counts = issues.groupBy("category", "dataset").agg(
-        F.count_if(F.col("severity") == "error").alias("n_errors"),
-        F.count_if(F.col("severity") == "warning").alias("n_warnings"),
-    )
-    names = schemas.select("category", "dataset").distinct()
-    errors, warnings = [F.coalesce(c, F.lit(0)) for c in ("n_errors", "n_warnings")]
-    return names.join(counts, ["category", "dataset"], "left").select(
+    def one_sided(rows: str, others: str, text: str) -> Column:
+        absent = F.filter(rows, lambda name: ~F.array_contains(F.col(others), name))
+        return F.transform(absent, lambda name: issue(name, F.lit(text), F.lit("error")))
+
+    def base_type(x: Column) -> Column:
+        return F.get(F.filter("base", lambda b: b["column"] == x["column"]), F.lit(0))["data_type"]
+
+    def retyped(x: Column) -> Column:
+        numeric = base_type(x).isin(*NUMERIC_TYPES) & x["data_type"].isin(*NUMERIC_TYPES)
+        text = F.when(numeric, "compatible numeric type").otherwise("type mismatch")
+        return issue(x["column"], text, F.when(numeric, "warning").otherwise("error"))
+
+    # Common columns are out of order if their baseline order differs from their own.
+    own_order = F.filter("names", lambda name: F.array_contains(F.col("base_names"), name))
+    base_order = F.filter("base_names", lambda name: F.array_contains(F.col("names"), name))
+    nothing = F.filter(F.array(issue(F.lit(None).cast("string"), F.lit(""), F.lit(""))), lambda _: F.lit(False))
+    order = F.array(issue(F.lit(None).cast("string"), F.lit("column order"), F.lit("warning")))
+    return both.select(
         "category",
         "dataset",
-        errors.alias("n_errors"),
-        warnings.alias("n_warnings"),
-        F.when(errors > 0, "FAIL").when(warnings > 0, "PASS WITH WARNINGS").otherwise("PASS").alias("status"),
+        F.concat(
+            one_sided("base_names", "names", "missing column"),
+            one_sided("names", "base_names", "unexpected column"),
+            F.transform(F.filter("found", lambda x: base_type(x) != x["data_type"]), retyped),
+            F.when(own_order != base_order, order).otherwise(nothing),
+        ).alias("issues"),
     )
 
 
+def schema_issues(schemas: DataFrame) -> DataFrame:
+    """Missing, unexpected, retyped and reordered columns, as errors or warnings."""
+    return _issues(schemas).select("category", "dataset", F.inline("issues"))
+
+
+def drift_status(schemas: DataFrame) -> DataFrame:
+    """Errors, warnings and a verdict for each data set."""
+
+    def count(severity: str) -> Column:
+        return F.size(F.filter("issues", lambda x: x["severity"] == severity)).cast("bigint")
+
+    counts = _issues(schemas).select("category", "dataset", count("error").alias("n_errors"), count("warning").alias("n_warnings"))
+    verdict = F.when(F.col("n_errors") > 0, "FAIL").when(F.col("n_warnings") > 0, "PASS WITH WARNINGS").otherwise("PASS")
+    return counts.withColumn("status", verdict)
+
+
 def overall_status(status: DataFrame) -> DataFrame:
     sums = status.agg(
         F.count(F.lit(1)).alias("n_datasets"),

@@ -186,7 +186,7 @@ def cleaning(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def aggregation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(aggregation_report(v.readings(spark, sf), v.daily(spark, sf)))
+    return rounded(aggregation_report(v.readings(spark, sf), written(v.daily(spark, sf))))
 
 
 @query("d15_repeated_keys", v.on_events("""SELECT district_code, CAST(ts AS DATE) AS date, count(*) AS "count" FROM readings_events GROUP BY 1, 2 HAVING count(*) > 1"""))
@@ -283,7 +283,8 @@ def statistics_of_target(spark: SparkSession, sf: str) -> DataFrame:
       FROM master WHERE groundwater_level IS NULL GROUP BY 1"""),
 )
 def missing_in_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(missing_by_group(v.master(spark, sf), "groundwater_level", "district_code"))
+    master = written(v.master(spark, sf).select("district_code", "groundwater_level"))
+    return rounded(missing_by_group(master, "groundwater_level", "district_code"))
 
 
 _LEAK = ("groundwater_level", "rainfall_mm", "leaked", "constant", "copy")

@@ -28,7 +28,7 @@ from sensorloom.operators.features import (
     spell_features,
 )
 from sensorloom.operators.series import Series
-from sensorloom.operators.split import continuity, cut_dates, with_split
+from sensorloom.operators.split import continuity, cut_dates
 from sensorloom.operators.target import invert_target, with_target
 from sensorloom.plans import views as v
 from sensorloom.plans.registry import query, r6, rounded, sql_r6
@@ -285,7 +285,7 @@ def temporal_continuity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e13_chronological_split", v.on_readings(f"SELECT district_code, date, split, {sql_r6('target')} AS target FROM split"))
 def chronological_split(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(with_split(v.targeted(spark, sf)).select(*KEYS, "split", "target"))
+    return rounded(v.split(spark, sf).select(*KEYS, "split", "target"))
 
 
 @query("e13b_cut_dates", v.on_readings("SELECT * FROM cuts"))
