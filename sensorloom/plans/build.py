@@ -44,7 +44,7 @@ from sensorloom.operators.feature_checks import feature_table_report, require_va
 from sensorloom.operators.features import build_features
 from sensorloom.operators.master import category_steps, master_report, master_table
 from sensorloom.operators.models import evaluate_all, load_champion, save_champion, train_all
-from sensorloom.operators.prep import fit_transform, prep_report
+from sensorloom.operators.prep import fit_transform, load_prep, prep_report, save_prep, transform
 from sensorloom.operators.profile import column_profile
 from sensorloom.operators.scoring import accepted, with_payload_error
 from sensorloom.operators.split import check_continuity, check_cuts, continuity, cut_dates, split_report, with_split
@@ -175,6 +175,7 @@ def build_splits(features: DataFrame, spec: JobSpec, out: str) -> SplitBundle:
 def prepare_splits(bundle: SplitBundle, spec: PrepSpec, out: str) -> SplitBundle:
     spark = bundle.table.sparkSession
     prepared, fitted = fit_transform(bundle.table, spec)
+    save_prep(spark, fitted, f"{out}/preparation")
     write_splits(prepared, f"{out}/prepared")
     write_report(prep_report(bundle.table, fitted), f"{out}/reports/preparation")
     ready = SplitBundle.load(spark, f"{out}/prepared")
@@ -184,13 +185,12 @@ def prepare_splits(bundle: SplitBundle, spec: PrepSpec, out: str) -> SplitBundle
     return ready
 
 
-def train_champion(ready: SplitBundle, models: Mapping[str, Mapping | None], out: str, target: str = TARGET) -> str:
-    candidates = train_all(models, ready.train, [], target)
-    metrics = evaluate_all(candidates, ready.validation).persist()
-    try:
-        return save_champion(candidates, metrics, f"{out}/champion")
-    finally:
-        metrics.unpersist()
+def train_champion(
+    ready: SplitBundle, models: Mapping[str, Mapping | None], out: str, target: TargetSpec = TargetSpec()
+) -> str:
+    candidates = train_all(models, ready.train, [], target.name)
+    metrics = evaluate_all(candidates, ready.validation)
+    return save_champion(candidates, metrics, f"{out}/champion", target=target)
 
 
 def score(spark: SparkSession, rows: DataFrame, champion_path: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -200,12 +200,21 @@ def score(spark: SparkSession, rows: DataFrame, champion_path: str, keep: Sequen
     return best.score(accepted(checked), keep)
 
 
+def score_raw(spark: SparkSession, rows: DataFrame, out: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Predictions for rows of the feature table, prepared as the train rows of the job in `out` were.
+
+    Missing features are imputed; columns to keep keep their names and values.
+    """
+    prepared = transform(rows, load_prep(spark, f"{out}/preparation"), keep)
+    return score(spark, prepared, f"{out}/champion", keep)
+
+
 def run_job(spark: SparkSession, paths: Mapping[str, str | Sequence[str]], out: str, spec: JobSpec = JobSpec()) -> str:
     """All stages; returns the champion's name. Everything it writes lies below `out`."""
     tune(spark)
     readings = clean_readings(spark, paths, out)
     master = build_master(aggregate_readings(readings, out), out)
     bundle = build_splits(build_feature_table(master, spec.features, out), spec, out)
-    return train_champion(prepare_splits(bundle, spec.prep, out), spec.models, out)
+    return train_champion(prepare_splits(bundle, spec.prep, out), spec.models, out, spec.target)
 
 

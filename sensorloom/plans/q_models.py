@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.config import MEASURES, PrepSpec
+from sensorloom.config import MEASURES, PrepSpec, TargetSpec
 from sensorloom.operators.evaluate import champion, rank_candidates
 from sensorloom.operators.models import evaluate_all, load_champion, save_champion, train_all
 from sensorloom.operators.prep import (
@@ -17,10 +17,12 @@ from sensorloom.operators.prep import (
     most_frequent,
     number,
     prep_report,
+    save_prep,
     transform,
 )
 from sensorloom.operators.scoring import accepted, with_payload_error
 from sensorloom.plans import views as v
+from sensorloom.plans.build import score_raw
 from sensorloom.plans.registry import query, rounded, sql_r6
 from sensorloom.sources.scratch import scratch_folder, written
 
@@ -125,34 +127,56 @@ def report_of_prep(spark: SparkSession, sf: str) -> DataFrame:
     return prep_report(split, fit(split.where(TRAIN)))
 
 
-# Small settings: these queries show the steps; the defaults in the library are the full ones.
-FOREST = {"RandomForestRegressor": {"numTrees": 10, "maxDepth": 5}}
-BOOSTED = {"GBTRegressor": {"maxIter": 5, "maxDepth": 3}}
+# Settings under which SQL can state a model: one tree over the month gives the mean of each month, a
+# tree without a split the mean of all rows. The defaults of the library are the full ensembles.
+MONTHS = {"RandomForestRegressor": {"numTrees": 1, "bootstrap": False, "maxDepth": 12}}
+BOOSTED_MONTHS = {"GBTRegressor": {"maxIter": 3, "maxDepth": 12}}
+TOTAL = {"GBTRegressor": {"maxIter": 1, "maxDepth": 0}}
 
+_SCORED_SQL = """
+(SELECT s.*, m.month_mean, t.total_mean FROM split s
+  JOIN (SELECT month(date) AS month, avg(target) AS month_mean FROM train GROUP BY 1) m ON month(s.date) = m.month
+  CROSS JOIN (SELECT avg(target) AS total_mean FROM train) t WHERE s.split = '{part}') scored
+"""
 
-def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    prepared, _ = fit_transform(written(v.split(spark, sf)))
-    return written(prepared, "split")
+
+def _metrics_sql(model: str, candidate: int, p: str) -> str:
+    return f"""SELECT '{model}' AS model, {candidate} AS candidate, count(*) AS n_rows, sqrt(avg((target - {p}) ** 2)) AS rmse,
+      avg(abs(target - {p})) AS mae, 1 - avg((target - {p}) ** 2) / var_pop(target) AS r2, 0 AS n_bad FROM {_SCORED_SQL.format(part="validation")}"""
+
+
+_ROUNDED = f"model, candidate, n_rows, {sql_r6('rmse')} AS rmse, {sql_r6('mae')} AS mae, {sql_r6('r2')} AS r2, n_bad"
+_BOTH = f"({_metrics_sql('RandomForestRegressor', 0, 'month_mean')} UNION ALL {_metrics_sql('GBTRegressor', 1, 'total_mean')})"
+_RANK = "CAST(row_number() OVER (ORDER BY rmse, mae, r2 DESC, candidate) AS INT)"
+METRICS = ("model", "candidate", "n_rows", "rmse", "mae", "r2", "n_bad")
+
+
+def _by_month(spark: SparkSession, sf: str) -> DataFrame:
+    month = F.month("date").cast("double").alias("month")
+    return written(v.split(spark, sf).select("district_code", "date", month, "target", "split"), "split")
+
+
+def _part(table: DataFrame, name: str) -> DataFrame:
+    return table.where(F.col("split") == name).drop("split")
 
 
-def _part(prepared: DataFrame, name: str) -> DataFrame:
-    return prepared.where(F.col("split") == name).drop("split")
+def _trained(table: DataFrame, registry: dict) -> list:
+    return train_all(registry, _part(table, "train"), ["month"], "target")
 
 
 def _scores(spark: SparkSession, sf: str, registry: dict) -> DataFrame:
-    prepared = _prepared(spark, sf)
-    candidates = train_all(registry, _part(prepared, "train"), [], "target")
-    return evaluate_all(candidates, _part(prepared, "validation"))
+    table = _by_month(spark, sf)
+    return evaluate_all(_trained(table, registry), _part(table, "validation"))
 
 
-@query("k08_random_forest")
+@query("k08_random_forest", v.on_readings(f"SELECT {_ROUNDED} FROM ({_metrics_sql('RandomForestRegressor', 0, 'month_mean')})"))
 def random_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark, sf, FOREST)
+    return rounded(_scores(spark, sf, MONTHS).select(*METRICS))
 
 
-@query("k09_gradient_boosting")
+@query("k09_gradient_boosting", v.on_readings(f"SELECT {_ROUNDED} FROM ({_metrics_sql('GBTRegressor', 0, 'month_mean')})"))
 def gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
-    return _scores(spark, sf, BOOSTED)
+    return rounded(_scores(spark, sf, BOOSTED_MONTHS).select(*METRICS))
 
 
 @query(
@@ -162,35 +186,62 @@ def gradient_boosting(spark: SparkSession, sf: str) -> DataFrame:
         FROM (SELECT district, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM train GROUP BY district)) t"""),
 )
 def train_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = train_all(FOREST | BOOSTED, _part(_prepared(spark, sf), "train"), [], "target")
+    prepared, _ = fit_transform(written(v.split(spark, sf)))
+    # Ensembles of a few trees over all features; the metrics are the matter of the other queries.
+    registry = {"RandomForestRegressor": {"numTrees": 10, "maxDepth": 5}, "GBTRegressor": {"maxIter": 5, "maxDepth": 3}}
+    candidates = train_all(registry, _part(written(prepared, "split"), "train"), [], "target")
     rows = [(c.name, len(c.features), c.train_rows) for c in candidates]
     return spark.createDataFrame(rows, "model string, n_features int, train_rows bigint")
 
 
-@query("k11_evaluate_all")
+@query("k11_evaluate_all", v.on_readings(f"SELECT {_ROUNDED}, {_RANK} AS rank, FALSE AS tied_with_champion FROM {_BOTH}"))
 def evaluate_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return rank_candidates(_scores(spark, sf, FOREST | BOOSTED))
+    return rounded(rank_candidates(_scores(spark, sf, MONTHS | TOTAL)).select(*METRICS, "rank", "tied_with_champion"))
 
 
 def _saved(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    prepared = _prepared(spark, sf)
-    candidates = train_all(FOREST | BOOSTED, _part(prepared, "train"), [], "target")
-    metrics = evaluate_all(candidates, _part(prepared, "validation")).persist()
+    table = _by_month(spark, sf)
+    candidates = _trained(table, MONTHS | TOTAL)
     folder = scratch_folder(spark)
-    save_champion(candidates, metrics, folder)
-    return folder, prepared
+    save_champion(candidates, evaluate_all(candidates, _part(table, "validation")), folder)
+    return folder, table
 
 
-@query("k12_saved_champion")
+@query("k12_saved_champion", v.on_readings(f"SELECT {_ROUNDED}, rank FROM (SELECT *, {_RANK} AS rank FROM {_BOTH}) WHERE rank = 1"))
 def saved_champion(spark: SparkSession, sf: str) -> DataFrame:
     folder, _ = _saved(spark, sf)
-    return champion(spark.read.json(f"{folder}/evaluation_report"))
+    return rounded(champion(spark.read.json(f"{folder}/evaluation_report")).select(*METRICS, "rank"))
 
 
-@query("k13_batch_scoring")
+@query(
+    "k13_batch_scoring",
+    v.on_readings(
+        f"""SELECT district_code, date, {sql_r6("target")} AS target, {sql_r6("CASE WHEN best = 0 THEN month_mean ELSE total_mean END")} AS prediction
+        FROM {_SCORED_SQL.format(part="test")}, (SELECT candidate AS best FROM {_BOTH} ORDER BY rmse, mae, r2 DESC, candidate LIMIT 1)"""
+    ),
+)
 def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """The saved champion read back, and every acceptable test row scored by it."""
-    folder, prepared = _saved(spark, sf)
+    folder, table = _saved(spark, sf)
     best = load_champion(spark, folder)
-    rows = with_payload_error(_part(prepared, "test").select(*best.features, best.target), best.features)
-    return best.score(accepted(rows), keep=[best.target])
+    rows = with_payload_error(_part(table, "test"), best.features)
+    return rounded(best.score(accepted(rows), keep=["district_code", "date", best.target]))
+
+
+@query(
+    "k13b_raw_scoring",
+    v.on_readings(f"""SELECT district_code, date, {sql_r6("exp(month_log) - 1")} AS prediction FROM split s
+      JOIN (SELECT month(date) AS month, avg(ln(1 + abs(target))) AS month_log FROM train GROUP BY 1) m ON month(s.date) = m.month WHERE s.split = 'test'"""),
+)
+def raw_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """Preparation and model of a log1p target saved, read back and applied to raw rows, in source units."""
+    table = _by_month(spark, sf).withColumn("target", F.log1p(F.abs("target")))
+    folder = scratch_folder(spark)
+    prepared, fitted = fit_transform(table.select("date", "month", "target", "split", F.lit("all").alias("kind")))
+    save_prep(spark, fitted, f"{folder}/preparation")
+    ready = written(prepared, "split")
+    candidates = train_all(MONTHS, _part(ready, "train"), [], "target")
+    metrics = evaluate_all(candidates, _part(ready, "validation"))
+    save_champion(candidates, metrics, f"{folder}/champion", target=TargetSpec(transform="log1p"))
+    rows = _part(table, "test").select("district_code", "date", "month", F.lit("all").alias("kind"))
+    return rounded(score_raw(spark, rows, folder, keep=["district_code", "date"]))

@@ -5,7 +5,8 @@ import re
 import pytest
 
 from sensorloom.config import TargetSpec, default_features
-from sensorloom.operators.district_day import station_days
+from sensorloom.operators.district_day import district_day, station_days
+from sensorloom.operators.drift import drift_status
 from sensorloom.operators.features import build_features
 from sensorloom.operators.target import with_target
 from sensorloom.plans import registry, views
@@ -48,7 +49,18 @@ def test_split_folders_are_pruned(spark, sf):
     assert "PartitionFilters: [isnotnull(split" in plan(table.where("split = 'test'"))
 
 
-@pytest.mark.parametrize("name", ["d01_district_day", "c02b_master_by_pivot", "e16_feature_table", "e13_chronological_split", "b01_sentinels_to_null", "d12_audit_report"])
+@pytest.mark.parametrize("name", ["d01_district_day", "c02b_master_by_pivot", "e16_feature_table", "e13_chronological_split", "b01_sentinels_to_null", "d12_audit_report", "g04_schema_drift", "g04b_schema_status"])
 def test_no_python_and_no_cross_join(spark, sf, name):
     text = plan(registry.QUERIES[name](spark, sf))
     assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", text)
+
+
+def test_drift_reads_its_relation_once(spark):
+    rows = spark.createDataFrame([("c", "f", "x", "int", 0)], "category string, dataset string, column string, data_type string, position int")
+    text = plan(drift_status(written(rows)))
+    assert count(r"Scan parquet", text) == 1 and "Join" not in text
+
+
+def test_district_day_shuffles_twice(spark, sf):
+    text = plan(district_day(views.readings(spark, sf)))
+    assert count(r"Exchange hashpartitioning", text) == 2
