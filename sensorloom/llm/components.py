@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from sensorloom.sources.scratch import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component): each node that has a link, with the smallest node of its component.
 
@@ -22,18 +18,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.where("a is not null and b is not null and a <> b")
     edges = written(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = _state(edges)
-    while state[0]:
+    while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("low")))
+        least = written(both.groupBy(F.col("a").alias("hub")).agg(F.least(F.min("b"), F.first("a")).alias("low"), F.min("b").alias("next"), F.count(F.lit(1)).alias("n")))
+        # Once each node with a smaller neighbour has no other, the smallest node of a component is the only hub.
+        if least.where("next < hub and n > 1").isEmpty():
+            break
         large = written(edges.join(least, edges["a"] == least["hub"]).select(F.col("low").alias("a"), "b").distinct())
         lower = written(large.groupBy(F.col("b").alias("hub")).agg(F.min("a").alias("low")))
         joined = large.join(lower, large["b"] == lower["hub"]).select("a", "b", "low")
         pairs = joined.select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         edges = written(pairs.where("a <> b").distinct())
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
