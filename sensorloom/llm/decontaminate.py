@@ -1,10 +1,12 @@
 """Passages of benchmark items in documents, by q-gram counts in diagonal bands and banded alignment.
 
 Both texts become lower-case words of letters and digits with one blank between. An item is cut into
-overlapping windows. A region of a document within e edits of a window of length n shares at least
+overlapping windows of two lengths: wide ones, and narrow ones so close together that every passage of
+LEAST_PASSAGE characters holds one of them whole. A region of a document within e edits of a window of length n shares at least
 n - q + 1 - q * e of its q-grams, all of them on diagonals at most e apart. So shared q-grams are
 counted in overlapping bands of diagonals, regions that reach the bound are kept, and an alignment in
-a band around the diagonal gives the edits. Nothing within the budget is missed.
+a band around the diagonal gives the edits. Nothing within the budget is missed. Items of fewer than
+LEAST_CHARS characters are looked up whole, by a hash of all their characters.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.chars import gram_hashes, plain
+from sensorloom.llm.chars import BLANK, gram_hashes, plain
 from sensorloom.llm.common import map_arrow, text_rows
 
 #: Length of a q-gram, of a window and between windows, in characters of the plain text.
 Q, WINDOW, STRIDE = 10, 100, 50
+#: Characters of an item that are always found where they stand unchanged, and of a narrow window.
+LEAST_PASSAGE, NARROW = 60, 50
 #: Edits allowed for each character of a window.
 EDITS = 0.07
-#: Items with fewer plain characters are found anywhere by chance and take no part.
+#: Items with fewer plain characters are found as a whole only, unchanged and between word borders.
 LEAST_CHARS = 40
 #: Plain characters of items that are searched for in one pass over the documents.
 BLOCK_CHARS = 4_000_000
@@ -42,9 +46,14 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    #: For each item the windows: first character, length, edits, q-grams that a region shares at least.
+    windows: list[np.ndarray]
+    #: For each length, the sorted hashes of the items below LEAST_CHARS with their item_id and characters.
+    short: dict[int, tuple[np.ndarray, list[tuple[int, np.ndarray]]]]
 
 
-def build_index(items: list[tuple[int, np.ndarray]]) -> Index:
+def build_index(every_item: list[tuple[int, np.ndarray]]) -> Index:
+    items = [x for x in every_item if len(x[1]) >= LEAST_CHARS]
     hashes = [gram_hashes(points, Q) for _, points in items]
     item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
     place = np.concatenate([np.arange(len(h)) for h in hashes]) if items else np.empty(0, np.int64)
@@ -52,7 +61,53 @@ def build_index(items: list[tuple[int, np.ndarray]]) -> Index:
     order = np.argsort(every, kind="stable")
     known = np.zeros(1 << max(20, int(16 * len(every)).bit_length()), bool)
     known[_slot(every, known)] = True
-    return Index(items, every[order], item[order].astype(np.int64), place[order].astype(np.int64), known)
+    windows = [np.array([(s, n, budget(n), max(1, n - Q + 1 - Q * budget(n))) for s, n in windows_of(len(points))]) for _, points in items]
+    return Index(items, every[order], item[order].astype(np.int64), place[order].astype(np.int64), known, windows, _short(every_item))
+
+
+def _short(items: list[tuple[int, np.ndarray]]) -> dict[int, tuple[np.ndarray, list[tuple[int, np.ndarray]]]]:
+    out = {}
+    for n in sorted({len(points) for _, points in items if len(points) < LEAST_CHARS}):
+        same = [x for x in items if len(x[1]) == n]
+        hashes = np.array([_run_hashes(points, np.zeros(1, np.int64), _sums(points), n)[0] for _, points in same], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        out[n] = hashes[order], [same[i] for i in order]
+    return out
+
+
+#: An odd factor and its inverse modulo 2 ** 64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _sums(points: np.ndarray) -> np.ndarray:
+    """Running sums from which _run_hashes takes the hash of any run of characters."""
+    return np.append(np.uint64(0), np.cumsum(points * _powers(_INVERSE, len(points)), dtype=np.uint64))
+
+
+def _run_hashes(points: np.ndarray, begin: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n characters from each begin on, the same wherever they stand."""
+    return (sums[begin + n] - sums[begin]) * _powers(_FACTOR, len(points))[begin]
+
+
+#: Code points of scripts that put no blanks between words: Thai to Burmese, Khmer, kana, Han.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _borders(points: np.ndarray) -> np.ndarray:
+    """For each place between characters, the ends too, whether a word may begin or end there."""
+    free = points == BLANK
+    for a, b in _UNSPACED:
+        free |= (points >= a) & (points <= b)
+    out = np.ones(len(points) + 1, bool)
+    out[1:-1] = free[1:] | free[:-1]
+    return out
 
 
 def _slot(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -61,10 +116,11 @@ def _slot(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def windows_of(n: int) -> list[tuple[int, int]]:
     """First character and length of the windows of an item of n characters; the last ends with it."""
-    if n <= WINDOW:
-        return [(0, n)]
-    starts = list(range(0, n - WINDOW, STRIDE))
-    return [(s, WINDOW) for s in [*starts, n - WINDOW]]
+    wide = [(0, n)] if n <= WINDOW else [(s, WINDOW) for s in [*range(0, n - WINDOW, STRIDE), n - WINDOW]]
+    if n <= LEAST_PASSAGE:
+        return wide
+    stride = LEAST_PASSAGE - NARROW + 1
+    return wide + [(s, NARROW) for s in [*range(0, n - NARROW, stride), n - NARROW]]
 
 
 def budget(n: int) -> int:
@@ -106,8 +162,45 @@ def align(window: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int, int
 def find_passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     """(item_id, fewest edits of a window, begin, end in the text) of each item with a window in the text."""
     points, at = plain(text, digits=True)
-    if len(points) < LEAST_CHARS or not len(index.hashes):
-        return []
+    found = _short_items(points, at, index) if index.short else {}
+    if len(index.hashes):
+        _long_items(points, at, index, found)
+    return [(k, *v) for k, v in found.items()]
+
+
+def _add(found: dict[int, list[int]], item_id: int, edits: int, begin: int, end: int) -> None:
+    old = found.get(item_id)
+    found[item_id] = [min(edits, old[0]), min(begin, old[1]), max(end, old[2])] if old else [edits, begin, end]
+
+
+def _short_items(points: np.ndarray, at: np.ndarray, index: Index) -> dict[int, list[int]]:
+    """The items of fewer than LEAST_CHARS characters that stand whole and unchanged in the text."""
+    found: dict[int, list[int]] = {}
+    for c in range(0, len(points), CHUNK):
+        part = points[c : c + CHUNK + LEAST_CHARS]
+        border = _borders(points[max(0, c - 1) : c + CHUNK + LEAST_CHARS + 1])[min(c, 1) :][: len(part) + 1]
+        sums = _sums(part)
+        starts = np.flatnonzero(border[: min(CHUNK, len(part))] & (part[:CHUNK] != BLANK))
+        for n, (hashes, items) in index.short.items():
+            begin = starts[: np.searchsorted(starts, len(part) - n, side="right")]
+            begin = begin[border[begin + n]]
+            own = _run_hashes(part, begin, sums, n)
+            low = np.searchsorted(hashes, own, side="left")
+            begin, low, own = (x[low < len(hashes)] for x in (begin, low, own))
+            begin, low = (x[hashes[low] == own] for x in (begin, low))
+            for k in np.unique(low):
+                places = begin[low == k]
+                for item_id, whole in items[k : np.searchsorted(hashes, hashes[k], side="right")]:
+                    same = (p for p in places if np.array_equal(part[p : p + n], whole))
+                    first = next(same, None)
+                    if first is not None:
+                        last = next(p for p in places[::-1] if np.array_equal(part[p : p + n], whole))
+                        _add(found, item_id, 0, int(at[c + first]), int(at[c + last + n - 1]) + 1)
+    return found
+
+
+def _long_items(points: np.ndarray, at: np.ndarray, index: Index, found: dict[int, list[int]]) -> None:
+    """Add the items of which the text holds a window."""
     where, which = [], []
     for c in range(0, len(points) - Q + 1, CHUNK):
         hashes = gram_hashes(points[c : c + CHUNK + Q - 1], Q)
@@ -120,21 +213,21 @@ def find_passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
         where.append(np.repeat(maybe + c, times))
         which.append(np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum()))
     if not where:
-        return []
+        return
     where, which = np.concatenate(where), np.concatenate(which)
     item, place = index.item[which], index.place[which]
     diagonal = where - place
-    found: dict[int, list[int]] = {}
     order = np.lexsort((diagonal, item))
     item, place, diagonal, where = item[order], place[order], diagonal[order], where[order]
     edges = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
     for x, y in zip(edges[:-1], edges[1:], strict=True):
         item_id, whole = index.items[item[x]]
-        for begin, n in windows_of(len(whole)):
-            e = budget(n)
-            least = max(1, n - Q + 1 - Q * e)
-            if y - x < least:
-                continue
+        windows = index.windows[item[x]]
+        if y - x < windows[:, 3].min():
+            continue
+        places = np.sort(place[x:y])
+        shared = np.searchsorted(places, windows[:, 0] + windows[:, 1] - Q, side="right") - np.searchsorted(places, windows[:, 0])
+        for begin, n, e, least in windows[shared >= windows[:, 3]].tolist():
             inside = (place[x:y] >= begin) & (place[x:y] <= begin + n - Q)
             d = diagonal[x:y][inside]
             for start in _bands(d, where[x:y][inside], e, least):
@@ -145,9 +238,7 @@ def find_passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
                 if hit is None or hit[2] <= hit[1]:
                     continue
                 edits, p, r = hit[0], int(at[first + hit[1]]), int(at[first + hit[2] - 1]) + 1
-                old = found.get(item_id)
-                found[item_id] = [min(edits, old[0]), min(p, old[1]), max(r, old[2])] if old else [edits, p, r]
-    return [(k, *v) for k, v in found.items()]
+                _add(found, item_id, edits, p, r)
 
 
 def _bands(diagonal: np.ndarray, where: np.ndarray, e: int, least: int) -> np.ndarray:
@@ -167,13 +258,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
     for row in items.distinct().orderBy("item_id", "text").toLocalIterator():
         points, _ = plain(row["text"], digits=True)
-        if len(points) < LEAST_CHARS:
+        if not len(points):
             continue
-        if held and size + len(points) > BLOCK_CHARS:
+        if held and size + max(len(points), LEAST_CHARS) > BLOCK_CHARS:
             yield build_index(held)
             held, size = [], 0
         held.append((row["item_id"], points))
-        size += len(points)
+        size += max(len(points), LEAST_CHARS)
     if held:
         yield build_index(held)
 
@@ -184,10 +275,12 @@ FOUND = "doc_id long, item_id long, n_edits long, begin long, end long"
 def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_edits, begin, end) for each row of docs and item of which it holds a passage.
 
-    A passage is a window of WINDOW plain characters of the item, or the whole of a shorter one, within
-    EDITS edits a character. begin and end are the characters of the text that the found windows of
+    A passage is a window of WINDOW or of NARROW plain characters of the item, or the whole of a shorter
+    one, within EDITS edits a character; so any LEAST_PASSAGE plain characters of an item that stand in
+    the text are found. An item of fewer than LEAST_CHARS is found where it stands whole, unchanged and
+    between word borders (next to a character of a script without blanks is one). begin and end are the characters of the text that the found windows of
     the item reach over, n_edits the fewest edits of one. Null and empty texts hold nothing; items with
-    a null id or text, or with fewer than LEAST_CHARS plain characters, take no part. Repeated
+    a null id or text, or without a letter or digit, take no part. Repeated
     rows of docs give repeated rows; repeated items count once, and items of one id but other texts
     each on their own. Empty tables give an empty result. Items come to the driver in blocks of bounded size,
     and the documents are read once for each block.
