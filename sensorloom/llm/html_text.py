@@ -33,6 +33,7 @@ PARTS = frozenset("nav footer aside form menu dialog fieldset search".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEAD = frozenset("html head title script style noscript noframes template base basefont bgsound link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -44,7 +45,7 @@ MAIN = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|noframes|template|textarea|title|svg|math|iframe|object|select|button)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -92,6 +93,9 @@ def parse(source: str) -> Page:
 
     at = 0
     for m in _TOKEN.finditer(source):
+        # Tags of head and body may be left out: the head also ends before text or what can't be in it.
+        if hidden and source[at : m.start()].strip():
+            hidden = 0
         if m.start() > at and not hidden:
             text.append(source[at : m.start()])
         at = m.end()
@@ -100,6 +104,8 @@ def parse(source: str) -> Page:
             hidden = 1
         elif tag in ("head", "body") and hidden:
             hidden = 0
+        elif hidden and (tag or m["raw"]) and not m["end"] and (tag or m["raw"].lower()) not in HEAD:
+            hidden = 0
         if hidden or not tag:
             continue
         if tag == "br":
@@ -128,7 +134,7 @@ def parse(source: str) -> Page:
         marks = frozenset(w for w in _WORD.split(f"{names['class']} {names['id']}") if w)
         page.elements.append(Element(tag, marks, bool(marks), names["role"].strip(), stack[-1], len(page.blocks)))
         stack.append(len(page.elements) - 1)
-    if at < len(source) and not hidden:
+    if at < len(source) and (not hidden or source[at:].strip()):
         text.append(source[at:])
     flush()
     close(0)
