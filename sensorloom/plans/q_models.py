@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import MEASURES, PrepSpec, TargetSpec
 from sensorloom.operators.evaluate import champion, rank_candidates
-from sensorloom.operators.models import evaluate_all, load_champion, save_champion, train_all
+from sensorloom.operators.models import DEFAULTS, evaluate_all, load_champion, predict, save_champion, train_all
 from sensorloom.operators.prep import (
     category_counts,
     feature_types,
@@ -245,3 +245,43 @@ def raw_scoring(spark: SparkSession, sf: str) -> DataFrame:
     save_champion(candidates, metrics, f"{folder}/champion", target=TargetSpec(transform="log1p"))
     rows = _part(table, "test").select("district_code", "date", "month", F.lit("all").alias("kind"))
     return rounded(score_raw(spark, rows, folder, keep=["district_code", "date"]))
+
+
+_FULL_SQL = """SELECT CAST(2 AS BIGINT) AS n_candidates, CAST(2 AS BIGINT) AS n_full, (SELECT count(*) FROM train) AS train_rows,
+  (SELECT count(*) FROM split WHERE split = 'validation') AS validation_rows, TRUE AS ranked_by_rmse,
+  (SELECT count(*) FROM split WHERE split = 'test') AS scored_rows, TRUE AS forest_within_targets, TRUE AS champion_is_best"""
+
+
+@query("k14_default_models", v.on_readings(_FULL_SQL))
+def default_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The library's default ensembles on all prepared features: evaluated, ranked, saved, read back and applied to the test rows."""
+    return invariants(spark, v.split(spark, sf), {"RandomForestRegressor": None, "GBTRegressor": None})
+
+
+def invariants(spark: SparkSession, split: DataFrame, registry: dict) -> DataFrame:
+    """One row of what holds for any fitted models: counts, rank order, the champion's error, the range of a forest."""
+    prepared, _ = fit_transform(written(split))
+    ready = written(prepared, "split")
+    train, validation, test = (_part(ready, p) for p in ("train", "validation", "test"))
+    candidates = train_all(registry, train, [], "target")
+    metrics = evaluate_all(candidates, validation)
+    folder = scratch_folder(spark)
+    save_champion(candidates, metrics, folder)
+    ranked = rank_candidates(metrics).orderBy("rank").collect()
+    best = load_champion(spark, folder)
+    scored = best.score(accepted(with_payload_error(test, best.features)), keep=[best.target])
+    forest = next(c for c in candidates if c.name == "RandomForestRegressor")
+    low, high = train.agg(F.min("target"), F.max("target")).first()
+    outside = predict(forest, test).where(~F.col("prediction").between(low - 1e-6, high + 1e-6)).count()
+    row = (
+        len(ranked),
+        sum(c.settings == DEFAULTS[c.name] for c in candidates),
+        candidates[0].train_rows,
+        ranked[0]["n_rows"],
+        [r["rmse"] for r in ranked] == sorted(r["rmse"] for r in ranked),
+        scored.where("prediction is not null").count(),
+        outside == 0,
+        champion(spark.read.json(f"{folder}/evaluation_report")).first()["rmse"] == min(r["rmse"] for r in ranked),
+    )
+    kinds = "n_candidates bigint, n_full bigint, train_rows bigint, validation_rows bigint, ranked_by_rmse boolean, scored_rows bigint, forest_within_targets boolean, champion_is_best boolean"
+    return spark.createDataFrame([row], kinds)
