@@ -16,7 +16,9 @@ from sensorloom.llm.language_id import fit_languages, held_out, identify_languag
 from sensorloom.llm.license_scan import scan_licenses
 from sensorloom.llm.mixing import mix_sources
 from sensorloom.llm.ngram_join import ngram_join
+from sensorloom.llm.periodic_runs import periodic_runs
 from sensorloom.llm.quality import fit_quality, score_quality
+from sensorloom.llm.quality_rules import LEAST_WORDS, MOST_REPEATED, STOP_WORDS, judge
 from sensorloom.llm.token_files import token_files
 from sensorloom.llm.topk_index import top_k
 
@@ -133,3 +135,67 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each license notice that it holds."""
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
+
+@query(
+    "op12_quality_rules",
+    f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+    a AS (SELECT row, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+    w AS (SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM a),
+    t AS (SELECT row, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS k FROM w WINDOW o AS (PARTITION BY row ORDER BY i)),
+    r AS (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS n FROM t WHERE k IS NOT NULL),
+    c AS (SELECT row, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) AS near(j) WHERE n > 1 GROUP BY row),
+    m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) AS BIGINT) AS n_stop_words,
+        CAST(len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) AS BIGINT) AS n_letter_words, CAST(len(ls) AS BIGINT) AS n_lines,
+        CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•‣]'))) AS BIGINT) AS n_bullet_lines,
+        CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS BIGINT) AS n_ellipsis_lines
+        FROM a LEFT JOIN c ON a.row = c.row),
+    b AS (SELECT *, n_words < {LEAST_WORDS} OR 1000 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m)
+    SELECT *, NOT (base_failed OR 1000 * word_chars < 2000 * n_words OR 1000 * word_chars > 15000 * n_words
+        OR 1000 * n_symbols > 100 * n_words OR 1000 * n_stop_words < 20 * n_words OR 1000 * n_letter_words < 800 * n_words
+        OR 1000 * n_dup_lines > 300 * n_lines OR 1000 * n_bullet_lines > 900 * n_lines OR 1000 * n_ellipsis_lines > 300 * n_lines) AS kept
+    FROM b""",
+)
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether the rules keep it."""
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "failed_rules")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """docs, in every tenth of which (by hash of the id) the words from some place on repeat with some period."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("_w").cast("long"), F.floor(hashed / 10)
+    docs = docs.withColumn("_w", F.when(hashed % 10 == 0, words)).withColumn("_begin", F.when(F.size("_w") > 0, g % n))
+    period = F.lit(1) + F.floor((n - F.col("_begin")) / (3 + g % 8))
+    docs = docs.withColumn("_period", period.cast("int")).withColumn("_begin", F.col("_begin").cast("int"))
+    begin, period = F.col("_begin"), F.col("_period")
+    repeated = F.transform("_w", lambda w, i: F.when(i < begin, w).otherwise(F.get(F.col("_w"), begin + (i - begin) % period)))
+    text = F.when(begin.isNotNull(), F.concat_ws(" ", repeated)).otherwise(F.col("text"))
+    return docs.withColumn("text", text).drop("_w", "_begin", "_period")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All periodic runs of words of every document, some of which are made periodic."""
+    found = periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    empty = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", empty, lambda a, r: F.when(more(a, r), r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n"))))
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
