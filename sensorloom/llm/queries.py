@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm.chat_format import chat_digests, format_chats
+from sensorloom.llm.chat_repair import repair, turn_digests
 from sensorloom.llm.decontaminate import contaminations
 from sensorloom.llm.html_text import extract_text
 from sensorloom.llm.language_id import fit_languages, held_out, identify_languages
@@ -199,3 +200,37 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut, repeated or given another role, by a hash of their key."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    kind, text = F.col("_kind"), F.coalesce("text", blank)
+    rows = rows.withColumn("_kind", F.crc32(key.cast("binary")) % 20).where("_kind <> 0")
+    rows = rows.withColumns(
+        {
+            "text": F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text),
+            "role": F.when(kind == 4, "user").otherwise(F.coalesce("role", blank)),
+            "_copy": F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))),
+        }
+    )
+    return rows.select("conv_id", "turn", "role", "text")
+
+
+@query("op11_chat_repair")
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage, and a digest of what it gives."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair(damaged(rows))
+    ids = rows.select(F.col("conv_id").alias("_id")).distinct()
+    found, digests = fixed.conversations, turn_digests(fixed.turns).withColumnRenamed("conv_id", "_digest_id")
+    out = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    out = out.join(digests, F.col("_id").eqNullSafe(F.col("_digest_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
