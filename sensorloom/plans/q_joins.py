@@ -180,21 +180,49 @@ def suffix_and_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     return merge_pair(left, right, "groundwater", "humidity")[0]
 
 
-@query(
-    "c08_merge_steps",
-    v.sql_with(_STD_VIEW, f"""SELECT 'groundwater' AS left_dataset, 'humidity' AS right_dataset, 'timestamp_station' AS merge_strategy, '1:1' AS validate_mode,
-      (SELECT count(*) FROM lhs) AS left_rows_before, (SELECT count(*) FROM rhs) AS right_rows_before, count(*) AS rows_after,
-      count(*) FILTER (WHERE l.left_id IS NOT NULL AND r.right_id IS NOT NULL) AS matched_rows,
-      count(*) FILTER (WHERE r.right_id IS NULL) AS left_only_rows, count(*) FILTER (WHERE l.left_id IS NULL) AS right_only_rows,
-      0 AS left_duplicate_key_groups, 0 AS right_duplicate_key_groups FROM lhs l FULL JOIN rhs r ON {_ON}"""),
-)
+_NAMES = [c.name for c in CATEGORIES]
+
+
+def _folded_sql(n: int) -> str:
+    """The rows of the first n categories, joined one after another."""
+    rows = f"""SELECT "timestamp", station, district, reading_id AS agency, reading_id AS id_{_NAMES[0]} FROM hourly WHERE category = '{_NAMES[0]}'"""
+    more: list[str] = []
+    for k, name in enumerate(_NAMES[1:n], 1):
+        kept = "".join(f", l.{c}" for c in (f"id_{_NAMES[0]}", *more))
+        rows = f"""SELECT coalesce(l."timestamp", r."timestamp") AS "timestamp", coalesce(l.station, r.station) AS station,
+          coalesce(l.district, r.district) AS district, l.agency{kept}, r.reading_id AS agency__{name}, r.reading_id AS id_{name}
+          FROM ({rows}) l FULL JOIN (SELECT * FROM hourly WHERE category = '{name}') r ON {_ON}"""
+        more += [f"agency__{name}", f"id_{name}"]
+    return rows
+
+
+def _merge_steps_sql() -> str:
+    steps, left = [], _NAMES[0]
+    for k, name in enumerate(_NAMES[1:], 1):
+        in_left = " OR ".join(f"id_{n} IS NOT NULL" for n in _NAMES[:k])
+        steps.append(f"""SELECT '{left}' AS left_dataset, '{name}' AS right_dataset, 'timestamp_station' AS merge_strategy, '1:1' AS validate_mode,
+          (SELECT count(*) FROM ({_folded_sql(k)})) AS left_rows_before, (SELECT count(*) FROM hourly WHERE category = '{name}') AS right_rows_before,
+          count(*) AS rows_after, count(*) FILTER (WHERE ({in_left}) AND id_{name} IS NOT NULL) AS matched_rows,
+          count(*) FILTER (WHERE id_{name} IS NULL) AS left_only_rows, count(*) FILTER (WHERE NOT ({in_left})) AS right_only_rows,
+          0 AS left_duplicate_key_groups, 0 AS right_duplicate_key_groups FROM ({_folded_sql(k + 1)})""")
+        left = f"({left}+{name})"
+    return " UNION ALL ".join(steps)
+
+
+@query("c08_merge_steps", v.sql_with(_STD_VIEW, _merge_steps_sql()))
 def merge_steps(spark: SparkSession, sf: str) -> DataFrame:
-    left, right = _hourly(spark, sf, "groundwater", "left_id"), _hourly(spark, sf, "humidity", "right_id")
-    result = merge_all([left, right], ["groundwater", "humidity"])
+    """The statistics of the joins of all five categories."""
+    result = merge_all([_hourly(spark, sf, n, f"id_{n}") for n in _NAMES], _NAMES)
     rows = [{k: x for k, x in s.items() if k != "merge_keys"} for s in result.steps]
     return spark.createDataFrame(rows)
 
 
+@query("c08c_merge_five", v.sql_with(_STD_VIEW, _folded_sql(len(_NAMES))))
+def merge_five(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows and columns of the five categories after four guarded joins."""
+    return merge_all([_hourly(spark, sf, n, f"id_{n}") for n in _NAMES], _NAMES).rows
+
+
 @query(
     "c08b_merge_three",
     v.sql_with(_STD_VIEW, f"""

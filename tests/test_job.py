@@ -9,6 +9,7 @@ from sensorloom.plans import views
 from sensorloom.plans.build import JobSpec, clean_readings, run_job, score
 from sensorloom.sources.files import SplitBundle, file_inventory, read_master, read_table
 from sensorloom.sources.fingerprint import table_fingerprint
+from sensorloom.sources.scratch import written
 from sensorloom.sources.sinks import write_cleaned_csv
 
 STEMS = {"groundwater": "gwl_tel", "humidity": "humid_tel", "rainfall": "rainfall_tel", "river_level": "rwl_tel", "temperature": "temperature"}
@@ -95,7 +96,7 @@ def test_master_from_files_is_the_master_from_views(spark, sf, job):
 
 
 def test_identities(spark, sf):
-    daily = views.daily(spark, sf).cache()
+    daily = written(views.daily(spark, sf))
     frames = {c.name: one_category(daily, c.name) for c in CATEGORIES}
     steps = join_steps(frames).orderBy("step").collect()
     for s in steps:

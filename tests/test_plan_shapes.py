@@ -8,6 +8,7 @@ from sensorloom.config import TargetSpec, default_features
 from sensorloom.operators.district_day import district_day, station_days
 from sensorloom.operators.drift import drift_status
 from sensorloom.operators.features import build_features
+from sensorloom.operators.merge import merge_all, merge_pair
 from sensorloom.operators.target import with_target
 from sensorloom.plans import registry, views
 from sensorloom.sources.scratch import written
@@ -64,3 +65,53 @@ def test_drift_reads_its_relation_once(spark):
 def test_district_day_shuffles_twice(spark, sf):
     text = plan(district_day(views.readings(spark, sf)))
     assert count(r"Exchange hashpartitioning", text) == 2
+
+
+def scans(spark, run) -> list[tuple[str, str]]:
+    """Folder and columns of every file scan that run() executes, by the plans Spark ended with."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, plans = [], store.executionsList()
+    for i in range(before, plans.size()):
+        text = plans.apply(i).physicalPlanDescription()
+        tree = text.split("\n\n\n")[0].split("Initial Plan")[0]
+        for node in re.findall(r"Scan parquet\s+\((\d+)\)", tree):
+            detail = re.search(rf"\n\({node}\) Scan parquet.*?(?=\n\n)", text, re.S)[0]
+            found.append((re.search(r"Location: .*?/([^/\]]+)\]", detail)[1], re.search(r"ReadSchema: (.*)", detail)[1]))
+    return found
+
+
+def folder(df) -> str:
+    return df.inputFiles()[0].rsplit("/", 2)[-2]
+
+
+@pytest.mark.parametrize("many", [None, 0, 1])
+def test_a_merge_reads_keys_once_and_rows_once(spark, many):
+    rows = "timestamp timestamp_ntz, station string, {} double"
+    day = "2024-01-0{}T00:00:00"
+    sides = []
+    for i, name in enumerate(("value", "other")):
+        data = [(day.format(d), f"S{d}", float(d)) for d in range(1 + i, 6 + i)] + ([(day.format(3), "S3", 9.0)] if many == i else [])
+        df = spark.createDataFrame(data, rows.format(name).replace("timestamp_ntz", "string"))
+        sides.append(written(df.withColumn("timestamp", df["timestamp"].cast("timestamp_ntz"))))
+    names = [folder(s) for s in sides]
+    step = {}
+    read = scans(spark, lambda: step.update(merge_pair(*sides, "a", "b")[1]))
+    for name, column in zip(names, ("value", "other"), strict=True):
+        mine = [schema for at, schema in read if at == name]
+        assert sorted(column in schema for schema in mine) == [False, True], mine
+    assert (step["matched_rows"], step["left_only_rows"], step["right_only_rows"]) == ((4, 1, 1) if many is None else (5, 1, 1))
+
+
+def test_a_fold_reads_no_result_for_its_guard(spark):
+    frames = []
+    for i in range(3):
+        df = spark.createDataFrame([(f"2024-01-0{d}T00:00:00", f"S{d}", float(d)) for d in range(1 + i, 6 + i)], f"timestamp string, station string, v{i} double")
+        frames.append(written(df.withColumn("timestamp", df["timestamp"].cast("timestamp_ntz"))))
+    names = [folder(f) for f in frames]
+    read = scans(spark, lambda: merge_all(frames))
+    assert sorted(at for at, _ in read if at in names) == sorted(names * 2)
+    # The first result is read by the second join only: all its columns, once.
+    assert sum("v0" in schema and "v1" in schema for _, schema in read) == 1
