@@ -17,7 +17,9 @@ from sensorloom.operators.clean import clean
 from sensorloom.operators.district_day import aggregation_report, with_file_category
 from sensorloom.plans import views as v
 from sensorloom.plans.registry import query, rounded, sql_r6
+from sensorloom.sources.csv_records import read_records
 from sensorloom.sources.files import (
+    DIALECT,
     SplitBundle,
     csv_header,
     file_inventory,
@@ -139,6 +141,41 @@ def csv_header_trim(spark: SparkSession, sf: str) -> DataFrame:
     return read_raw_csv(spark, folder, columns=csv_header(spark, folder), blank_markers=False)
 
 
+@query(
+    "a03b_csv_line_ends_in_cells",
+    v.on_events("""SELECT CAST(reading_id AS VARCHAR) AS reading_id, 'line ' || station || chr(10) || 'said "' || category || '"' || chr(10) || chr(10) AS note,
+      CASE WHEN reading_id % 3 = 0 THEN NULL ELSE ',' || district END AS district FROM readings_events"""),
+)
+def csv_line_ends_in_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """All readings with a note of several lines, written and read by splits."""
+    folder = scratch_folder(spark)
+    line = F.concat(F.lit("line "), "station", F.lit('\nsaid "'), "category", F.lit('"\n\n'))
+    district = F.when(F.col("reading_id") % 3 != 0, F.concat(F.lit(","), "district"))
+    rows = v.readings_events(spark, sf).select("reading_id", line.alias("note"), district.alias("district"))
+    rows.write.options(**VERBATIM, **DIALECT).csv(folder)
+    return read_records(spark, [folder], ["reading_id", "note", "district"], DIALECT)
+
+
+@query(
+    "a04b_csv_headers_differ",
+    v.on_readings("""SELECT category, CAST(district_code AS VARCHAR) AS district_code, CASE WHEN category <> 'rainfall' THEN district END AS district,
+      CASE WHEN category = 'humidity' THEN CAST(station AS VARCHAR) END AS station FROM readings"""),
+)
+def csv_headers_differ(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one scan with other columns in another order, joined by name."""
+    folder = scratch_folder(spark)
+    rows = v.readings(spark, sf).select("category", "district_code", "district", "station")
+    kinds = {
+        "category IN ('humidity')": ["station", "district", " category", "district_code "],
+        "category = 'rainfall'": ["district_code", "category"],
+        "category NOT IN ('humidity', 'rainfall')": ["category", "district", "district_code"],
+    }
+    for i, (kind, columns) in enumerate(kinds.items()):
+        some = rows.where(kind).select(*[c.strip() for c in columns]).toDF(*columns)
+        some.write.options(**VERBATIM).csv(f"{folder}/{i}")
+    return read_raw_csv(spark, [f"{folder}/{i}" for i in range(len(kinds))], blank_markers=False)
+
+
 SUMMARY_SQL = f"""SELECT category, count(*) AS n_rows, {sql_r6('min(measurement)')} AS low,
   {sql_r6('max(measurement)')} AS high FROM district_day GROUP BY category"""
 

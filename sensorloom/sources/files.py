@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +16,7 @@ from sensorloom.config import RAW_FILE_KEYWORDS, SPLIT
 from sensorloom.errors import DataCheckError
 from sensorloom.functions.casts import null_markers
 from sensorloom.functions.names import category_of, trimmed_names
+from sensorloom.sources.csv_records import read_records
 
 
 def file_inventory(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
@@ -50,6 +55,73 @@ def csv_header(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
     return spark.read.csv(paths, header=True, inferSchema=False, **DIALECT).columns
 
 
+def _first_record(spark: SparkSession, path: str) -> list[str]:
+    """The cells of a file's first record; nothing behind it is read."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf, at = spark._jsparkSession.sessionState().newHadoopConf(), hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        java = spark._jvm.java.io
+        reader = java.BufferedReader(java.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        text = reader.readLine()
+        while text is not None and not text.strip():
+            text = reader.readLine()
+        while text is not None and text.count(DIALECT["quote"]) % 2:
+            more = reader.readLine()
+            if more is None:
+                raise DataCheckError(f"the header of {path} is not closed")
+            text += "\n" + more
+    finally:
+        stream.close()
+    return [] if text is None else next(csv.reader([text], strict=True))
+
+
+def _listed(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    return sorted(unquote(f) for f in spark.read.text(paths).inputFiles())
+
+
+def _in_several_splits(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).getLen()
+    return size > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def files_by_header(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files below the paths by their header, as each file spells it; files without one are left out."""
+    files = _listed(spark, paths)
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda f: tuple(_first_record(spark, f)), files))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files):
+        if header:
+            found.setdefault(header, []).append(file)
+    if not found:
+        raise DataCheckError(f"no file of {paths} has a header")
+    return found
+
+
+def _scan(
+    spark: SparkSession, paths: str | Sequence[str], names: Sequence[str], multi_line: bool = False
+) -> DataFrame:
+    """Text columns with trimmed names from files that all have this header; another one raises."""
+    trimmed = trimmed_names(names)
+    twice = sorted({c for c in trimmed if trimmed.count(c) > 1})
+    if twice:
+        raise DataCheckError(f"columns {twice} occur twice in the header {list(names)}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    options = dict(header=True, schema=schema, enforceSchema=False, **DIALECT)
+    if not multi_line:
+        return spark.read.csv(paths, **options).toDF(*trimmed)
+    # A file of one split is one task's work anyway, and needs no shuffle.
+    large, small = [], []
+    for file in _listed(spark, paths):
+        (large if _in_several_splits(spark, file) else small).append(file)
+    frames = [spark.read.csv(small, multiLine=True, **options).toDF(*trimmed)] if small else []
+    frames += [read_records(spark, large, trimmed, DIALECT)] if large else []
+    return reduce(DataFrame.unionByName, frames)
+
+
 def read_raw_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -59,13 +131,16 @@ def read_raw_csv(
 ) -> DataFrame:
     """Every column as text with its name trimmed; Spark's input splits replace chunked reading.
 
-    With the columns given, the scan starts without looking at the data first. Cells that hold line
-    ends need multi_line, which reads each file in one task.
+    Files are read by their own headers, one scan for all that share one, and joined by name; a column
+    that a file lacks is NULL there. With the columns given, all files must have that very header, and
+    none is looked at first. Cells that hold line ends need multi_line, which takes one shuffle
+    of the files that have more than one split.
     """
-    names = list(columns) if columns else csv_header(spark, paths)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, multiLine=multi_line, **DIALECT)
-    raw = raw.toDF(*trimmed_names(names))
+    if columns:
+        raw = _scan(spark, paths, columns, multi_line)
+    else:
+        frames = [_scan(spark, files, header, multi_line) for header, files in files_by_header(spark, paths).items()]
+        raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if not blank_markers:
         return raw
     return raw.select(*[null_markers(F.col(f"`{c}`")).alias(c) for c in raw.columns])
@@ -74,9 +149,9 @@ def read_raw_csv(
 def read_with_file_name(
     spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
-    """Raw text rows with the file each came from."""
+    """Raw text rows with the file each came from; all files must have the columns as their header."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, **DIALECT)
+    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=False, **DIALECT)
     names = trimmed_names(columns)
     return raw.select(
         *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)],
@@ -92,14 +167,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return df
 
 
-def read_master(spark: SparkSession, parquet: str, csv: str | None = None) -> DataFrame:
+def read_master(spark: SparkSession, parquet: str, csv_path: str | None = None) -> DataFrame:
     """The Parquet copy if there is one, else the CSV copy with its date column typed."""
     try:
         return read_table(spark, parquet)
     except Exception as err:
-        if csv is None or "PATH_NOT_FOUND" not in str(err):
+        if csv_path is None or "PATH_NOT_FOUND" not in str(err):
             raise
-    df = spark.read.csv(csv, header=True, inferSchema=True, **DIALECT)
+    df = spark.read.csv(csv_path, header=True, inferSchema=True, **DIALECT)
     return df.withColumn("date", F.to_date("date"))
 
 
