@@ -57,7 +57,7 @@ def cases(spark: SparkSession) -> dict:
     split = written(views.split(spark, SF_DIR))
     # Raw files come in several parts, as the yearly files of a category do.
     raw = scratch_folder(spark)
-    verbatim = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    verbatim = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     views.dirty(spark, SF_DIR).repartition(int(CPUS)).write.options(**verbatim).csv(raw)
     text = read_raw_csv(spark, raw, columns=views.DIRTY_COLUMNS)
     cleaned = written(clean(text, "Humidity", views.DIRTY_NUMERIC))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +14,49 @@ from sensorloom.operators.clean import col
 from sensorloom.operators.quantiles import exact_quantiles
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value as text, n) for every distinct value of every column.
+#: Types whose values are counted as whole numbers, and how.
+_WHOLE = {
+    "boolean": "cast({} as bigint)",
+    "date": "cast(unix_date({}) as bigint)",
+    "timestamp": "unix_micros({})",
+    **{t: "cast({} as bigint)" for t in ("tinyint", "smallint", "int", "bigint")},
+}
 
-    One narrow pair for each cell, counted before the shuffle and spread over (column, value), so
-    neither a column with many values nor one frequent value lands in a single task.
+
+def _kind(df: DataFrame, column: str) -> str:
+    """The type as which values of the column are counted."""
+    name = df.schema[column].dataType.simpleString()
+    return "bigint" if name in _WHOLE else {"float": "double"}.get(name, name if name in ("double", "timestamp_ntz") else "string")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n_distinct) of every column that holds a value, exact.
+
+    Columns are counted in groups by type, so a cell is a pair of two numbers unless it is text.
+    Values are counted before the shuffle and spread over (column, value): neither a column with many
+    values nor one frequent value lands in a single task.
     """
+    parts = []
+    for kind in ("bigint", "double", "timestamp_ntz", "string"):
+        names = [c for c in columns if _kind(df, c) == kind]
+        if not names:
+            continue
+        pairs = []
+        for c in names:
+            quoted, name = f"`{c}`", df.schema[c].dataType.simpleString()
+            value = F.expr(_WHOLE[name].format(quoted)) if name in _WHOLE else col(c).cast(kind)
+            pairs.append(F.struct(F.lit(columns.index(c)).alias("c"), value.alias("value")))
+        cells = df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL")
+        parts.append(cells.groupBy("c", "value").agg(F.lit(1)).groupBy("c").agg(F.count(F.lit(1)).alias("n_distinct")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return reduce(DataFrame.unionByName, parts).select(F.get(names, F.col("c")).alias("column"), "n_distinct")
+
+
+def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value as text, n) for every distinct value of the columns."""
     pairs = [F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]
-    return (
-        df.select(F.inline(F.array(*pairs)))
-        .where("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    cells = df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL")
+    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _by_column(df: DataFrame, metrics: dict[str, dict[str, Column]], types: dict[str, str]) -> DataFrame:
@@ -77,7 +108,7 @@ def column_profile(df: DataFrame) -> DataFrame:
                 "n_values": F.count(col(c)),
             }
     stats = _by_column(df, metrics, types)
-    distinct = value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    distinct = distinct_counts(df, df.columns)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     # A single value has no sample spread; the profile calls that 0.
@@ -128,7 +159,7 @@ def describe_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
             {"unique": F.lit(None).cast("bigint"), "top": F.lit(None).cast("string"), "freq": F.lit(None).cast("bigint")}
         )
     top = (
-        value_counts(df, text)
+        text_counts(df, text)
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("unique"),

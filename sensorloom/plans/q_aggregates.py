@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.config import CATEGORIES, MASTER_COLUMNS
+from sensorloom.config import CATEGORIES, COUNTS, MASTER_COLUMNS, MEASURES
 from sensorloom.functions.scalars import rain_temp_ratio
 from sensorloom.operators.audit import (
     audit_report,
@@ -221,7 +221,7 @@ def master_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _describe_sql() -> str:
     parts = []
-    for c in ("district_code", "groundwater_level", "rainfall_mm", "rainfall_station_count"):
+    for c in ("district_code", *MEASURES, *COUNTS):
         parts.append(f"""SELECT '{c}' AS "column", count({c}) AS "count", {sql_r6(f'avg({c})')} AS mean, {sql_r6(f'stddev_samp({c})')} AS std, {sql_r6(f'CAST(min({c}) AS DOUBLE)')} AS "min",
           {sql_r6(f'CAST(max({c}) AS DOUBLE)')} AS "max", {sql_r6(f'quantile_cont({c}, 0.25)')} AS p25, {sql_r6(f'quantile_cont({c}, 0.5)')} AS p50, {sql_r6(f'quantile_cont({c}, 0.75)')} AS p75,
           CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq FROM master""")
@@ -233,9 +233,8 @@ def _describe_sql() -> str:
 
 @query("d18_describe", v.on_readings(_describe_sql()))
 def describe(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["district_code", "groundwater_level", "rainfall_mm", "rainfall_station_count", "district", "date"]
     # The description takes several passes, so the table is written once.
-    return rounded(describe_all(written(v.master(spark, sf).select(*columns)), columns))
+    return rounded(describe_all(written(v.master(spark, sf))))
 
 
 _RATIO_SQL = """

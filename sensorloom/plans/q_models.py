@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.config import MEASURES, PrepSpec, TargetSpec
+from sensorloom.config import COUNTS, MEASURES, PrepSpec, TargetSpec
 from sensorloom.operators.evaluate import champion, rank_candidates
 from sensorloom.operators.models import DEFAULTS, evaluate_all, load_champion, predict, save_champion, train_all
 from sensorloom.operators.prep import (
@@ -41,14 +41,15 @@ def typed_columns(spark: SparkSession, sf: str) -> DataFrame:
     return split.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(rows), "n_rows")
 
 
-_IMPUTED = ", ".join(f"{sql_r6(f'coalesce({c}, (SELECT median({c}) FROM train))')} AS {c}" for c in MEASURES)
+NUMBERS = (*MEASURES, *COUNTS)
+_IMPUTED = ", ".join(f"{sql_r6(f'coalesce({c}, (SELECT median({c}) FROM train))')} AS {c}" for c in NUMBERS)
 
 
 @query("k02_median_imputation", v.on_readings(f"SELECT district_code, date, {_IMPUTED} FROM split"))
 def median_imputation(spark: SparkSession, sf: str) -> DataFrame:
     # Fitting reads the rows several times, so they are written once.
-    split = written(v.split(spark, sf).select("district_code", "date", *MEASURES, "split"))
-    filled = [F.coalesce(number(f.column), F.lit(f.median)).alias(f.column) for f in fit_numeric(split.where(TRAIN), MEASURES)]
+    split = written(v.split(spark, sf).select("district_code", "date", *NUMBERS, "split"))
+    filled = [F.coalesce(number(f.column), F.lit(f.median)).alias(f.column) for f in fit_numeric(split.where(TRAIN), NUMBERS)]
     return rounded(split.select("district_code", "date", *filled))
 
 
@@ -74,12 +75,12 @@ def mode_imputation(spark: SparkSession, sf: str) -> DataFrame:
 def _scaled_sql(c: str) -> str:
     filled = f"coalesce({c}, (SELECT median({c}) FROM train))"
     over_train = f"FROM (SELECT {filled} AS x FROM train)"
-    return f"{sql_r6(f'({filled} - (SELECT avg(x) {over_train})) / (SELECT stddev_pop(x) {over_train})')} AS numeric__{c}"
+    return f"{sql_r6(f'({filled} - (SELECT avg(x) {over_train})) / (SELECT coalesce(nullif(stddev_pop(x), 0), 1) {over_train})')} AS numeric__{c}"
 
 
-@query("k04_standard_scaling", v.on_readings("SELECT district_code, date, " + ", ".join(_scaled_sql(c) for c in MEASURES) + " FROM split"))
+@query("k04_standard_scaling", v.on_readings("SELECT district_code, date, " + ", ".join(_scaled_sql(c) for c in NUMBERS) + " FROM split"))
 def standard_scaling(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ("district_code", "date", "split", "target", *MEASURES)
+    columns = ("district_code", "date", "split", "target", *NUMBERS)
     split = written(v.split(spark, sf).select(*columns))
     fitted = fit(split.where(TRAIN), PrepSpec())
     return rounded(transform(split, fitted, keep=["district_code", "date"]).drop("split", "target"))
@@ -102,16 +103,25 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
 
 def _prepared_sql() -> str:
     return v.on_readings(
-        "SELECT split, " + sql_r6("target") + " AS target, " + ", ".join(_scaled_sql(c) for c in MEASURES)
-        + ", CASE WHEN district = 'NATION_3' THEN 1.0 ELSE 0.0 END AS categorical__district_NATION_3 FROM split"
+        "SELECT split, district_code, date, " + sql_r6("target") + " AS target, " + ", ".join(_scaled_sql(c) for c in NUMBERS)
+        + """, 'categorical__district_' || CASE WHEN n >= 0.01 * (SELECT count(*) FROM train) THEN district WHEN n > 0 THEN 'infrequent_sklearn' END AS marked,
+        CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS DOUBLE) AS n_marked
+        FROM (SELECT split.* EXCLUDE (district), coalesce(district, mode) AS district FROM split, (SELECT district AS mode FROM train WHERE district IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) s
+        LEFT JOIN (SELECT coalesce(district, (SELECT district FROM train WHERE district IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS district, count(*) AS n FROM train GROUP BY 1) c USING (district)"""
     )
 
 
 @query("k06_fit_and_transform", _prepared_sql())
 def fitted_and_transformed(spark: SparkSession, sf: str) -> DataFrame:
-    split = written(v.split(spark, sf).select("district_code", "date", "district", *MEASURES, "split", "target"))
-    prepared, _ = fit_transform(split)
-    return rounded(prepared.select("split", "target", *[f"numeric__{c}" for c in MEASURES], "categorical__district_NATION_3"))
+    """All prepared columns; of the one-hot ones, the name of the one that is set and the sum of all."""
+    split = written(v.split(spark, sf).select("district_code", "date", "district", *NUMBERS, "split", "target"))
+    fitted = fit(split.where(TRAIN))
+    prepared = transform(split, fitted, keep=["district_code", "date"])
+    hot = [c for c in fitted.feature_names if c.startswith("categorical__")]
+    marked = F.concat_ws(",", *[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in hot])
+    total = sum((F.col(f"`{c}`") for c in hot), F.lit(0.0))
+    numbers = [F.col(c) for c in prepared.columns if c not in hot]
+    return rounded(prepared.select(*numbers, F.nullif(marked, F.lit("")).alias("marked"), total.alias("n_marked")))
 
 
 @query(
