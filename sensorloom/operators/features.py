@@ -11,7 +11,7 @@ from sensorloom.config import FeatureSpec, RollingSpec, TrendSpec
 from sensorloom.errors import DataCheckError
 from sensorloom.functions.calendar import calendar_columns
 from sensorloom.functions.scalars import rain_temp_ratio, relative_change, standard_anomaly
-from sensorloom.operators.series import Series, WindowColumn, with_run_lengths, with_window_columns
+from sensorloom.operators.series import Series, WindowColumn, with_long_medians, with_run_lengths, with_window_columns
 
 DRY_DAYS, WET_DAYS = "consecutive_dry_days", "consecutive_wet_days"
 
@@ -25,6 +25,10 @@ STATS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Frames of more rows than this have their median from a sorted list that slides over the rows.
+LONG_FRAME = 100
+
+
 def _positive(steps: Iterable[int], what: str) -> list[int]:
     found = sorted(set(steps))
     if any(isinstance(s, bool) or not isinstance(s, int) or s <= 0 for s in found):
@@ -64,6 +68,7 @@ class WindowPlan:
         self.columns: dict[str, WindowColumn] = {}
         self.sources: list[str] = []
         self.lookback = 0
+        self.medians: dict[str, tuple[str, int]] = {}
 
     def add(self, name: str, source: str, reach: int, make: Callable[[WindowSpec], Column]) -> None:
         self.columns[name] = make
@@ -71,7 +76,8 @@ class WindowPlan:
         self.lookback = max(self.lookback, reach)
 
     def apply(self, df: DataFrame, series: Series) -> DataFrame:
-        return with_window_columns(df, series, self.columns, self.sources, self.lookback)
+        out = with_window_columns(df, series, self.columns, self.sources, self.lookback)
+        return with_long_medians(out, series, self.medians)
 
 
 def plan_lags(plan: WindowPlan, df: DataFrame, lags: Mapping[str, Iterable[int]], strict: bool) -> None:
@@ -87,6 +93,9 @@ def plan_rolling(plan: WindowPlan, df: DataFrame, rolling: Mapping[str, RollingS
             raise DataCheckError(f"unknown rolling statistics {sorted(unknown)}")
         for n in _positive(rolling[c].windows, f"windows of {c}"):
             for stat in sorted(set(rolling[c].stats)):
+                if stat == "median" and n > LONG_FRAME:
+                    plan.medians[f"{c}_rolling_{n}d_{stat}"] = (c, n)
+                    continue
                 plan.add(f"{c}_rolling_{n}d_{stat}", c, n, _rolling(c, n, stat))
 
 
@@ -178,7 +187,7 @@ def family_counts(before: DataFrame, after: DataFrame, spec: FeatureSpec) -> dic
         plan = WindowPlan()
         if part is not None:
             make(plan, before, part, strict=False)
-        plans[name] = len(plan.columns)
+        plans[name] = len(plan.columns) + len(plan.medians)
     n_calendar = len(calendar_columns(F.col("date")))
     total = len(after.columns) - len(before.columns)
     return {

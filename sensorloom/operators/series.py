@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,43 +97,71 @@ def with_window_columns(
 def _halo_rows(
     own: DataFrame, series: Series, sources: Sequence[str], lookback: int, lookahead: int
 ) -> DataFrame:
-    """The last rows before each segment and the first ones after it.
+    """The `lookback` rows before each segment and the `lookahead` rows after it.
 
-    A segment hands on at most `lookback` + `lookahead` of its rows. Where neighbours are short,
-    rows come from as many segments as needed; each holds a row at least, so that is bounded too.
+    Rows are numbered through the group: by position in the segment and the rows of the segments
+    before, of which there is one count each. A row then knows the segments that need it, those that
+    begin less than `lookback` rows after it or end less than `lookahead` rows before it. A segment
+    holds a row at least, so its row lists as many others as that at most, and gets as many rows.
     """
     keys = [*series.group, SEGMENT]
     fields = [series.order, *[c for c in dict.fromkeys(sources) if c not in (*keys, series.order)]]
     w = series.segment_window()
-    # Without a row this far on (or back), the row lies at the segment's end (or start).
-    at_end = F.lead(series.order, lookback).over(w).isNull() if lookback else F.lit(False)
-    at_start = F.lag(series.order, lookahead).over(w).isNull() if lookahead else F.lit(False)
-    row = F.struct(*fields)
-    edges = (
-        own.select(*keys, *fields)
-        .withColumns({"_end": at_end, "_start": at_start})
-        .where("_end OR _start")
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("_end"), row))).alias("ends"),
-            F.array_sort(F.collect_list(F.when(F.col("_start"), row))).alias("starts"),
-        )
-    )
-    # From here on there is one row for each segment.
     over = Window.partitionBy(*series.group).orderBy(SEGMENT)
-    parts = []
-    if lookback:
-        before = F.flatten(F.collect_list("ends").over(over.rowsBetween(-lookback, -1)))
-        edges = edges.withColumn("before", before)
-        start = F.greatest(F.size("before") - lookback + 1, F.lit(1))
-        parts.append(F.slice("before", start, F.lit(lookback)))
-    if lookahead:
-        after = F.flatten(F.collect_list("starts").over(over.rowsBetween(1, lookahead)))
-        edges = edges.withColumn("after", after)
-        parts.append(F.slice("after", F.lit(1), F.lit(lookahead)))
-    return edges.select(*keys, F.explode(F.concat(*parts)).alias("r")).select(
-        *keys, *[F.col(f"r.{c}").alias(c) for c in fields], F.lit(True).alias(HALO)
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    sizes = sizes.withColumn("_end", F.col("_before") + F.col("_n"))
+    one = F.struct(F.col(SEGMENT).alias("segment"), F.col("_before").alias("before"), F.col("_end").alias("end"))
+    near = {"_next": (1, lookback), "_last": (-lookahead, -1)}
+    for name, frame in near.items():
+        reach = lookback if name == "_next" else lookahead
+        listed = F.collect_list(one).over(over.rowsBetween(*frame)) if reach else F.array().cast("array<struct<segment:bigint,before:bigint,end:bigint>>")
+        sizes = sizes.withColumn(name, listed)
+    # Only segments that a row of this one can reach stay in the lists.
+    sizes = sizes.withColumns(
+        {
+            "_next": F.filter("_next", lambda s: s["before"] < F.col("_end") + lookback),
+            "_last": F.filter("_last", lambda s: s["end"] > F.col("_before") - lookahead),
+        }
+    )
+    sizes = sizes.select(*[F.col(c).alias(f"_key_{c}") for c in keys], "_n", "_before", "_next", "_last")
+    rows = own.select(*keys, *fields).withColumn("_pos", F.row_number().over(w))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys])
+    at = F.col("_before") + F.col("_pos")
+    edges = rows.join(sizes, same).where((F.col("_pos") > F.col("_n") - lookback) | (F.col("_pos") <= lookahead))
+    targets = F.concat(
+        F.filter("_next", lambda s: s["before"] < at + lookback), F.filter("_last", lambda s: s["end"] >= at - lookahead)
     )
+    edges = edges.withColumn("_target", F.explode(F.transform(targets, lambda s: s["segment"])))
+    return edges.select(*series.group, F.col("_target").alias(SEGMENT), *fields, F.lit(True).alias(HALO))
+
+
+def with_long_medians(df: DataFrame, series: Series, medians: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """For each name, the median of a column over the n rows before each row.
+
+    Spark gathers and sorts a frame anew for each row, which long frames can't afford. Here a sorted
+    list slides over the rows of a group (or of a segment with the rows before it), so that a row
+    costs the logarithm of its frame.
+    """
+    series.check(df)
+    if not medians:
+        return df
+    keys, rows = list(series.group), df.withColumn(HALO, F.lit(False))
+    if series.segment_days is not None:
+        keys.append(SEGMENT)
+        own = df.withColumn(SEGMENT, series.segment(df))
+        sources, lookback = [c for c, _ in medians.values()], max(n for _, n in medians.values())
+        halo = _halo_rows(own, series, sources, lookback, 0)
+        rows = own.withColumn(HALO, F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    columns, order, wanted = df.columns, series.order, dict(medians)
+
+    def slide(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        out = {name: part[c].astype("float64").shift(1).rolling(n, min_periods=1).median() for name, (c, n) in wanted.items()}
+        return part[columns].assign(**out)[~part[HALO].astype(bool)]
+
+    fields = [*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in medians]]
+    return rows.groupBy(*keys).applyInPandas(slide, T.StructType(fields))
 
 
 def with_run_lengths(df: DataFrame, series: Series, conditions: Mapping[str, Column]) -> DataFrame:

@@ -186,6 +186,7 @@ def _rolling_query(key: str, stat: str, columns: dict[str, tuple[int, ...]]) ->
 
 _rolling_query("e02_rolling_mean", "mean", {"groundwater_level": (7, 30), "relative_humidity": (15,)})
 _rolling_query("e03_rolling_median", "median", {"groundwater_level": (7,), "air_temperature": (15,)})
+_rolling_query("e03b_rolling_median_long", "median", {"groundwater_level": (365,), "rainfall_mm": (1000,)})
 _rolling_query("e04_rolling_std", "std", {"groundwater_level": (7, 30), "rainfall_mm": (30,)})
 _rolling_query("e05_rolling_min", "min", {"air_temperature": (7, 30)})
 _rolling_query("e05b_rolling_max", "max", {"rainfall_mm": (7, 30)})
@@ -194,6 +195,16 @@ _rolling_query("e06_rolling_sum", "sum", {"rainfall_mm": (7, 30)})
 _ROLLING_SEGMENTS = {"groundwater_level": RollingSpec((7, 30), ("mean", "std")), "rainfall_mm": RollingSpec((7, 30), ("max", "sum"))}
 
 
+@query(
+    "e03c_rolling_median_long_in_segments",
+    v.on_readings(f"SELECT district_code, date, {rolling_sql('air_temperature', 200, 'median')}, {rolling_sql('rainfall_mm', 150, 'median')} FROM master"),
+)
+def long_medians_in_segments(spark: SparkSession, sf: str) -> DataFrame:
+    base = v.master(spark, sf)
+    spec = {"air_temperature": RollingSpec((200,), ("median",)), "rainfall_mm": RollingSpec((150,), ("median",))}
+    return _new_columns(rolling_features(base, spec, Series(segment_days=300)), base)
+
+
 @query(
     "e06b_rolling_in_segments",
     v.on_readings("SELECT district_code, date, " + ", ".join(rolling_sql(c, n, s) for c, spec in _ROLLING_SEGMENTS.items() for n in spec.windows for s in spec.stats) + " FROM master"),

@@ -7,6 +7,7 @@ import pytest
 
 from sensorloom.config import RollingSpec, TrendSpec
 from sensorloom.errors import DataCheckError
+from sensorloom.operators import features, series
 from sensorloom.operators.features import change_features, lag_features, rolling_features, spell_features
 from sensorloom.operators.series import Series, with_window_columns
 from pyspark.sql import functions as F
@@ -105,3 +106,35 @@ def test_segments_of_times(spark, kind):
     out = out.sort_values(["g", "t"])
     for k in (1, 5):
         np.testing.assert_allclose(out[f"v_lag_{k}"], out.groupby("g")["v"].shift(k))
+
+
+@pytest.mark.parametrize("days", [None, 2, 40, 5000])
+def test_long_medians_slide(daily, days, monkeypatch):
+    monkeypatch.setattr(features, "LONG_FRAME", 5)
+    spec = {"rainfall_mm": RollingSpec((3, 7, 90), ("median", "mean"))}
+    names = [f"rainfall_mm_rolling_{n}d_median" for n in (3, 7, 90)]
+    slid = rolling_features(daily, spec, Series(segment_days=days))
+    assert set(names) <= set(slid.columns)
+    monkeypatch.setattr(features, "LONG_FRAME", 1000)
+    same(rolling_features(daily, spec), slid)
+
+
+def test_a_segment_lists_no_more_than_it_can_reach(spark):
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(400)]
+    own = spark.createDataFrame(rows, "district_code int, date date, v double")
+    for days, lookback, lookahead in ((1, 7, 3), (10, 7, 0), (10, 25, 25), (400, 7, 7)):
+        cut = Series(segment_days=days)
+        halo = series._halo_rows(own.withColumn(series.SEGMENT, cut.segment(own)), cut, ["v"], lookback, lookahead)
+        sizes = halo.groupBy(series.SEGMENT).count().collect()
+        assert all(r["count"] <= lookback + lookahead for r in sizes)
+        assert halo.distinct().count() == halo.count()
+        plan = halo._jdf.queryExecution().executedPlan().toString()
+        assert "flatten" not in plan
+
+
+def test_a_median_over_ten_thousand_rows(spark):
+    values = np.random.default_rng(1).integers(0, 1000, 30_000).astype(float)
+    df = spark.createDataFrame([(i % 2, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), float(x)) for i, x in enumerate(values)], "g int, t timestamp_ntz, v double")
+    out = rolling_features(df, {"v": RollingSpec((10_000,), ("median",))}, Series(("g",), "t", segment_days=0.1)).toPandas().sort_values(["g", "t"])
+    want = out.groupby("g")["v"].transform(lambda x: x.shift(1).rolling(10_000, min_periods=1).median())
+    np.testing.assert_allclose(out["v_rolling_10000d_median"], want)
