@@ -18,6 +18,7 @@ from sensorloom.functions.casts import to_moment, to_number
 from sensorloom.functions.names import find_audit_role
 from sensorloom.operators.checks import nan_as_missing
 from sensorloom.operators.clean import col
+from sensorloom.operators.ranking import ranked
 
 
 def _moment(df: DataFrame, column: str) -> Column:
@@ -71,21 +72,23 @@ def distinct_in_role(df: DataFrame, role: str, by: Sequence[str] = ()) -> DataFr
     return found.withColumn("n_distinct", F.lit(None).cast("bigint")) if absent else found
 
 
-def district_names(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sorted distinct district names and whether one of them holds the given name.
+def district_list(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sorted distinct district names as a long table (rank, the by columns, district).
 
-    Names are made distinct across the cluster first, so only distinct names are gathered.
+    Names are made distinct across the cluster and ranked by ranges, so they may be any number.
     """
     if find_audit_role(df.columns, "district") is None:
-        nothing = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-        return nothing.withColumns(
-            {"districts": F.lit(None).cast("array<string>"), "name_present": F.lit(None).cast("boolean")}
-        )
-    names = df.select(*by, _role_columns(df)["district"].alias("district")).distinct()
-    return names.groupBy(*by).agg(
-        F.array_sort(F.collect_list("district")).alias("districts"),
-        F.coalesce(F.bool_or(F.lower("district").contains(name.lower())), F.lit(False)).alias("name_present"),
-    )
+        return df.select(F.lit(0).cast("bigint").alias("rank"), *by, F.lit("").alias("district")).limit(0)
+    names = df.select(*by, _role_columns(df)["district"].alias("district")).where("district IS NOT NULL").distinct()
+    return ranked(names, ["district"], by)
+
+
+def name_present(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Whether a district holds the given name, in any case of letters; NULL if there is no such column."""
+    district = _role_columns(df)["district"]
+    held = F.coalesce(F.bool_or(F.lower(district).contains(name.lower())), F.lit(False))
+    absent = find_audit_role(df.columns, "district") is None
+    return df.groupBy(*by).agg((F.lit(None).cast("boolean") if absent else held).alias("name_present"))
 
 
 def audit_status(rows: Column, cells: Column, missing: Column, duplicates: Column) -> Column:
@@ -103,9 +106,8 @@ def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFr
     """One row: size, types, missing and repeated rows, ranges, stations, districts, verdict.
 
     Copies are folded first; every other figure is then weighted by how often a row occurs, so the
-    table is read and shuffled once. District names are gathered as sets: each task passes on
-    every name once, as many as there are districts. With a name given, the report says whether
-    a district holds it.
+    table is read and shuffled once. With a name given, the report says whether a district holds
+    it. The names themselves are a table of their own (district_list), whatever their number.
     """
     df = nan_as_missing(df)
     columns = df.columns
@@ -114,6 +116,7 @@ def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFr
     has_station = find_audit_role(columns, "station") is not None
     has_district = find_audit_role(columns, "district") is not None
     missing = [F.sum(F.when(col(c).isNull(), F.col("_copies")).otherwise(0)) for c in columns]
+    held = F.bool_or(F.lower(roles["district"]).contains((name or "").lower()))
     stats = folded.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -124,7 +127,8 @@ def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFr
         F.min(roles["longitude"]).alias("longitude_min"),
         F.max(roles["longitude"]).alias("longitude_max"),
         F.count_distinct(roles["station"]).alias("_stations"),
-        F.array_sort(F.collect_set(roles["district"])).alias("_districts"),
+        F.count_distinct(roles["district"]).alias("_districts"),
+        held.alias("_held"),
         *[F.coalesce(m, F.lit(0)).alias(f"_m{i}") for i, m in enumerate(missing)],
     )
     total = reduce(Column.__add__, [F.col(f"_m{i}") for i in range(len(columns))])
@@ -132,7 +136,6 @@ def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFr
         F.array(*[F.lit(c) for c in columns]), F.array(*[F.col(f"_m{i}") for i in range(len(columns))])
     )
     cells = F.col("n_rows") * len(columns)
-    present = F.exists("_districts", lambda d: F.lower(d).contains(name.lower())) if name else F.lit(None).cast("boolean")
     return stats.select(
         F.lit(dataset).alias("dataset_name"),
         "n_rows",
@@ -149,8 +152,7 @@ def audit_report(df: DataFrame, dataset: str, name: str | None = None) -> DataFr
         "longitude_min",
         "longitude_max",
         F.when(F.lit(has_station), F.col("_stations")).alias("n_stations"),
-        F.when(F.lit(has_district), F.col("_districts")).alias("districts"),
-        F.when(F.lit(has_district), F.size("_districts")).alias("n_districts"),
-        F.when(F.lit(has_district), present).alias("name_present"),
+        F.when(F.lit(has_district), F.col("_districts").cast("int")).alias("n_districts"),
+        F.when(F.lit(has_district and name is not None), F.coalesce("_held", F.lit(False))).alias("name_present"),
         audit_status(F.col("n_rows"), cells, total, F.col("duplicate_rows")).alias("status"),
     )

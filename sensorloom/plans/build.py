@@ -28,7 +28,7 @@ from sensorloom.config import (
     TargetSpec,
     default_features,
 )
-from sensorloom.operators.audit import audit_report
+from sensorloom.operators.audit import audit_report, district_list
 from sensorloom.operators.checks import require, require_unique
 from sensorloom.operators.clean import clean_folded, cleaning_report, col, fold_copies, numeric_winners
 from sensorloom.operators.district_day import (
@@ -96,6 +96,7 @@ def clean_file(spark: SparkSession, path: str, category: str, out: str, name_to_
     write_table(clean_folded(folded, category, numeric), f"{out}/cleaned/{name}")
     cleaned = read_table(spark, f"{out}/cleaned/{name}")
     write_report(audit_report(cleaned, name, name_to_find), f"{out}/reports/audit/{name}")
+    district_list(cleaned).write.mode("overwrite").json(f"{out}/reports/districts/{name}")
     write_report(column_profile(cleaned), f"{out}/reports/profile/{name}")
     return cleaned
 

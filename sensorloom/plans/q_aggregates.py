@@ -11,7 +11,8 @@ from sensorloom.operators.audit import (
     audit_report,
     coordinate_ranges,
     distinct_in_role,
-    district_names,
+    district_list,
+    name_present,
     time_range,
 )
 from sensorloom.operators.checks import null_counts, repeated_keys, repeated_row_count
@@ -26,6 +27,7 @@ from sensorloom.operators.evaluate import prediction_problems, regression_metric
 from sensorloom.operators.feature_checks import feature_table_report, infinite_counts
 from sensorloom.operators.master import master_report
 from sensorloom.operators.profile import column_profile, describe_all
+from sensorloom.operators.ranking import ranked
 from sensorloom.operators.split import sparse_train_groups, split_report
 from sensorloom.operators.split_checks import constant_columns, split_nulls
 from sensorloom.operators.target import leakage_audit, missing_by_group, target_stats
@@ -111,12 +113,27 @@ def distinct_stations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d08_district_names",
-    v.on_dirty("""SELECT string_agg(name, ',' ORDER BY name) AS districts, bool_or(contains(lower(name), 'district 17')) AS name_present
-      FROM (SELECT DISTINCT "District" AS name FROM cleaned WHERE "District" IS NOT NULL)"""),
+    v.on_dirty("""SELECT row_number() OVER (ORDER BY name) AS rank, name AS district FROM (SELECT DISTINCT "District" AS name FROM cleaned WHERE "District" IS NOT NULL)"""),
 )
 def names_of_districts(spark: SparkSession, sf: str) -> DataFrame:
-    found = district_names(_cleaned(spark, sf), "District 17")
-    return found.withColumn("districts", F.array_join("districts", ","))
+    return district_list(_cleaned(spark, sf))
+
+
+@query(
+    "d08b_name_present",
+    v.on_dirty("""SELECT coalesce(bool_or(contains(lower("District"), 'district 17')), FALSE) AS name_present FROM cleaned"""),
+)
+def name_is_present(spark: SparkSession, sf: str) -> DataFrame:
+    return name_present(_cleaned(spark, sf), "District 17")
+
+
+@query(
+    "d08c_stations_by_category",
+    v.on_events("""SELECT category, station, row_number() OVER (PARTITION BY category ORDER BY station) AS rank FROM (SELECT DISTINCT category, station FROM readings_events)"""),
+)
+def stations_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    """The sorted list of each category's stations, ranked by ranges."""
+    return ranked(v.readings_events(spark, sf).select("category", "station").distinct(), ["station"], ["category"])
 
 
 @query("d09_null_counts", v.on_dirty(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) - count("{c}") AS n_null FROM cleaned""" for c in v.DIRTY_COLUMNS)))
