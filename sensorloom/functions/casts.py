@@ -11,11 +11,31 @@ from pyspark.sql import functions as F
 
 from sensorloom.config import CSV_NULL_MARKERS, SENTINELS
 
-# Dates with slashes or dots, and dates that start with the day or the month.
+# Dates with slashes or dots, and dates that start with the day or the month. Years of two digits
+# are those from 1969 on, as pandas and POSIX read them.
 _YEAR_FIRST = (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
 _MONTH = r"(0?[1-9]|1[0-2])"
-_DAY_MONTH = (rf"^(\d{{1,2}})[-/.]{_MONTH}[-/.](\d{{4}})", "$3-$2-$1")
-_MONTH_DAY = (rf"^{_MONTH}[-/.](\d{{1,2}})[-/.](\d{{4}})", "$3-$1-$2")
+_LATE, _EARLY = r"(69|[7-9]\d)(?!\d)", r"([0-5]\d|6[0-8])(?!\d)"
+_DAY_MONTH = rf"^(\d{{1,2}})[-/.]{_MONTH}[-/.]"
+_MONTH_DAY = rf"^{_MONTH}[-/.](\d{{1,2}})[-/.]"
+_YEARS = ((r"(\d{4})", "$3"), (_LATE, "19$3"), (_EARLY, "20$3"))
+_DAY_FIRST = [(_DAY_MONTH + year, f"{value}-$2-$1") for year, value in _YEARS]
+_MONTH_FIRST = [(_MONTH_DAY + year, f"{value}-$1-$2") for year, value in _YEARS]
+
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+"
+# A month by name is written M and its number before these apply.
+_NAMED = [
+    *[(rf"^(\d{{1,2}})(?:st|nd|rd|th)?[-/. ]*M(\d\d)[-/., ]*{year}", f"{value}-$2-$1") for year, value in _YEARS],
+    *[(rf"^M(\d\d)[-/. ]*(\d{{1,2}})(?:st|nd|rd|th)?[-/., ]+{year}", f"{value}-$1-$2") for year, value in _YEARS],
+    (r"^(\d{4})[-/. ]*M(\d\d)[-/. ]*(\d{1,2})", "$1-$2-$3"),
+]
+_HALF = r"(?i)[,T ]\s*(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?(\.\d+)?\s*([ap])\.?m\.?$"
+_OFFSET = r"(\d:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
+
+# Which of two numbers can only be the day, for the vote of a column.
+DAY_ONLY = r"^(1[3-9]|2\d|3[01])[-/.](0?[1-9]|1[0-2])[-/.]\d"
+MONTH_ONLY = r"^(0?[1-9]|1[0-2])[-/.](1[3-9]|2\d|3[01])[-/.]\d"
 
 
 def null_markers(c: Column) -> Column:
@@ -41,13 +61,37 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def _with_numbers(c: Column) -> Column:
+    """Month names as numbers and hours of two halves as hours of the day; the weekday goes."""
+    c = F.regexp_replace(c, _WEEKDAY, "")
+    for i, name in enumerate(MONTHS, 1):
+        c = F.regexp_replace(c, rf"(?i)(?<![a-z]){name}[a-z]*\.?", f"M{i:02d}")
+    for pattern, iso in _NAMED:
+        c = F.regexp_replace(c, pattern, iso)
+    part = lambda k: F.regexp_extract(c, _HALF, k)
+    hour = F.regexp_extract(c, _HALF, 1).try_cast("int")
+    late = F.when(F.lower(part(5)) == "p", 12).otherwise(0)
+    clock = F.concat(
+        F.regexp_replace(c, _HALF, " "),
+        F.lpad((hour % 12 + late).cast("string"), 2, "0"),
+        F.lit(":"),
+        F.when(part(2) == "", "00").otherwise(part(2)),
+        F.lit(":"),
+        F.when(part(3) == "", "00").otherwise(part(3)),
+        part(4),
+    )
+    return F.when(hour.between(1, 12), clock).when(part(5) == "", c)
+
+
 def to_moment(c: Column, day_first: bool = True) -> Column:
-    """Timestamp without zone from ISO text, or from text that starts with day and month.
+    """Timestamp without zone from text: ISO, numbers with the day or the month first, month names.
 
-    Where both could be the month, day_first decides; a number above 12 is the day.
+    Where two numbers could both be the month, day_first decides; a number above 12 is the day.
+    Years may have two digits, hours AM or PM. An offset is dropped: the clock time stays as written.
     """
-    orders = (_DAY_MONTH, _MONTH_DAY) if day_first else (_MONTH_DAY, _DAY_MONTH)
-    for pattern, iso in (_YEAR_FIRST, *orders):
+    c = F.when(c.rlike("[A-Za-z]{2}"), _with_numbers(c)).otherwise(c)
+    orders = (*_DAY_FIRST, *_MONTH_FIRST) if day_first else (*_MONTH_FIRST, *_DAY_FIRST)
+    for pattern, iso in (_YEAR_FIRST, *orders, (_OFFSET, "$1")):
         c = F.regexp_replace(c, pattern, iso)
     return c.try_cast("timestamp_ntz")
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import CATEGORIES
-from sensorloom.functions.casts import clean_text, to_moment, to_number
+from sensorloom.functions.casts import DAY_ONLY, MONTH_ONLY, clean_text, to_moment, to_number
 from sensorloom.functions.names import (
     datetime_columns,
     find_by_keyword,
@@ -46,10 +46,41 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("all")
 
 
-def convert_datetimes(df: DataFrame, hints: Iterable[str] = ()) -> DataFrame:
-    """Columns named like a time become timestamps, day before month where text is ambiguous."""
-    wanted = {c for c in datetime_columns(df.columns, hints) if dict(df.dtypes)[c] == "string"}
-    return df.select(*[to_moment(col(c)).alias(c) if c in wanted else col(c) for c in df.columns])
+def text_datetimes(df: DataFrame, hints: Iterable[str] = ()) -> list[str]:
+    return [c for c in datetime_columns(df.columns, hints) if dict(df.dtypes)[c] == "string"]
+
+
+def convert_datetimes(
+    df: DataFrame, hints: Iterable[str] = (), day_first: Mapping[str, bool] | None = None
+) -> DataFrame:
+    """Columns named like a time become timestamps.
+
+    Where text is ambiguous the day comes before the month, unless day_first says otherwise for the
+    column (see date_votes).
+    """
+    wanted, orders = set(text_datetimes(df, hints)), dict(day_first or {})
+    return df.select(*[to_moment(col(c), orders.get(c, True)).alias(c) if c in wanted else col(c) for c in df.columns])
+
+
+def _date_counts(columns: Sequence[str]) -> list[Column]:
+    out = []
+    for i, c in enumerate(columns):
+        out += [F.count_if(F.btrim(col(c)).rlike(DAY_ONLY)).alias(f"day{i}"), F.count_if(F.btrim(col(c)).rlike(MONTH_ONLY)).alias(f"month{i}")]
+    return out
+
+
+def date_votes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """For each text column of dates: values whose first number must be the day, values whose second
+    must, and whether the day comes first; where neither is more frequent, it does."""
+    columns = text_datetimes(df) if columns is None else list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n_day_first bigint, n_month_first bigint, day_first boolean")
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.col(f"day{i}").alias("n_day_first"), F.col(f"month{i}").alias("n_month_first"))
+        for i, c in enumerate(columns)
+    ]
+    counts = df.agg(*_date_counts(columns)).select(F.inline(F.array(*rows)))
+    return counts.withColumn("day_first", F.col("n_day_first") >= F.col("n_month_first"))
 
 
 def numeric_votes(df: DataFrame) -> DataFrame:
@@ -180,19 +211,41 @@ def fold_copies(df: DataFrame) -> DataFrame:
     return text.groupBy(*[col(c) for c in text.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
+def column_votes(folded: DataFrame) -> tuple[list[str], dict[str, bool]]:
+    """Columns the vote makes numeric, and for the columns of dates whether the day comes first.
+
+    All text columns are counted in one aggregate: dates for their order, the others for numbers.
+    """
+    rows = folded.drop(COPIES)
+    dates = text_datetimes(rows)
+    others = [c for c in text_columns(rows) if c not in dates]
+    if not dates and not others:
+        return [], {}
+    found = rows.agg(
+        *_date_counts(dates),
+        *[F.count(col(c)).alias(f"v{i}") for i, c in enumerate(others)],
+        *[F.count(to_number(col(c))).alias(f"n{i}") for i, c in enumerate(others)],
+    ).first()
+    numeric = [c for i, c in enumerate(others) if found[f"v{i}"] == 0 or found[f"n{i}"] >= NUMERIC_VOTE_SHARE * found[f"v{i}"]]
+    return numeric, {c: found[f"day{i}"] >= found[f"month{i}"] for i, c in enumerate(dates)}
+
+
 def numeric_winners(folded: DataFrame) -> list[str]:
     """Columns the vote makes numeric, once the datetime columns have theirs."""
-    rows = convert_datetimes(drop_empty_rows(folded.drop(COPIES)))
-    return [r["column"] for r in numeric_votes(rows).where("numeric").collect()]
+    return column_votes(folded)[0]
 
 
-def clean_folded(folded: DataFrame, category: str, numeric: Sequence[str]) -> DataFrame:
+def clean_folded(
+    folded: DataFrame, category: str, numeric: Sequence[str], day_first: Mapping[str, bool] | None = None
+) -> DataFrame:
     """The cleaning steps after de-duplication, in their fixed order."""
-    rows = convert_datetimes(drop_empty_rows(folded.drop(COPIES)))
+    rows = convert_datetimes(drop_empty_rows(folded.drop(COPIES)), day_first=day_first)
     return apply_range(keep_valid_coordinates(convert_numerics(rows, numeric)), category)
 
 
-def clean(df: DataFrame, category: str, numeric: Sequence[str] | None = None) -> DataFrame:
+def clean(
+    df: DataFrame, category: str, numeric: Sequence[str] | None = None, day_first: Mapping[str, bool] | None = None
+) -> DataFrame:
     """All cleaning steps.
 
     With the numeric columns given, nothing runs until the result is used. Otherwise the distinct
@@ -201,15 +254,18 @@ def clean(df: DataFrame, category: str, numeric: Sequence[str] | None = None) ->
     folded = fold_copies(df)
     if numeric is None:
         folded = written(folded)
-        numeric = numeric_winners(folded)
-    return keep_column_order(clean_folded(folded, category, numeric), df.columns)
+        numeric, voted = column_votes(folded)
+        day_first = {**voted, **(day_first or {})}
+    return keep_column_order(clean_folded(folded, category, numeric, day_first), df.columns)
 
 
-def cleaning_report(folded: DataFrame, dataset: str, category: str, numeric: Sequence[str]) -> DataFrame:
+def cleaning_report(
+    folded: DataFrame, dataset: str, category: str, numeric: Sequence[str], day_first: Mapping[str, bool] | None = None
+) -> DataFrame:
     """Row counts of each cleaning step, in one pass over the folded rows."""
     names = [c for c in folded.columns if c != COPIES]
     filled = F.greatest(*[col(c).isNotNull() for c in names]) if len(names) > 1 else col(names[0]).isNotNull()
-    typed = convert_numerics(convert_datetimes(folded.withColumn("_filled", filled)), numeric)
+    typed = convert_numerics(convert_datetimes(folded.withColumn("_filled", filled), day_first=day_first), numeric)
     located = valid_coordinates(typed)
     typed = typed.withColumn("_located", F.lit(True) if located is None else located)
 

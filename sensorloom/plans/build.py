@@ -30,7 +30,7 @@ from sensorloom.config import (
 )
 from sensorloom.operators.audit import audit_report, district_list
 from sensorloom.operators.checks import require, require_unique
-from sensorloom.operators.clean import clean_folded, cleaning_report, col, fold_copies, numeric_winners
+from sensorloom.operators.clean import clean_folded, cleaning_report, col, fold_copies, column_votes
 from sensorloom.operators.district_day import (
     aggregate_violations,
     aggregation_report,
@@ -91,9 +91,9 @@ def clean_file(spark: SparkSession, path: str, category: str, out: str, name_to_
     """
     name = dataset_name(path)
     folded = written(fold_copies(read_raw_csv(spark, path)))
-    numeric = numeric_winners(folded)
-    write_report(cleaning_report(folded, name, category, numeric), f"{out}/reports/cleaning/{name}")
-    write_table(clean_folded(folded, category, numeric), f"{out}/cleaned/{name}")
+    numeric, day_first = column_votes(folded)
+    write_report(cleaning_report(folded, name, category, numeric, day_first), f"{out}/reports/cleaning/{name}")
+    write_table(clean_folded(folded, category, numeric, day_first), f"{out}/cleaned/{name}")
     cleaned = read_table(spark, f"{out}/cleaned/{name}")
     write_report(audit_report(cleaned, name, name_to_find), f"{out}/reports/audit/{name}")
     district_list(cleaned).write.mode("overwrite").json(f"{out}/reports/districts/{name}")

@@ -12,6 +12,7 @@ from sensorloom.operators.clean import (
     clean_missing,
     col,
     convert_datetimes,
+    date_votes,
     convert_numerics,
     drop_empty_rows,
     drop_repeated_rows,
@@ -30,6 +31,7 @@ from sensorloom.operators.split_checks import features_and_target
 from sensorloom.operators.target import valid_targets
 from sensorloom.plans import views as v
 from sensorloom.plans.registry import query, rounded, sql_r6
+from sensorloom.sources.scratch import written
 
 TIME = "Data Acquisition Time"
 
@@ -77,6 +79,46 @@ def datetime_cast(spark: SparkSession, sf: str) -> DataFrame:
     return typed.groupBy(col(TIME).alias("moment")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# Moments as text in eleven formats: in one column the day comes first, in the other the month.
+_FORMATS = {
+    "day_time": ("dd/MM/yyyy HH:mm", "d MMMM yyyy", "dd-MMM-yy hh:mm a", "MMM d, yyyy h:mm a", "yyyy-MM-dd'T'HH:mm:ss'+05:30'", "EEE, dd MMM yyyy", "dd.MM.yy", "yyyy/MM/dd HH:mm:ss", "d-M-yyyy h a"),
+    "month_time": ("MM/dd/yyyy HH:mm", "M-d-yy h:mm a", "MM/dd/yyyy"),
+}
+
+
+def _precision(fmt: str) -> str:
+    return "second" if "ss" in fmt else "minute" if "mm" in fmt else "hour" if " a" in fmt else "day"
+
+
+def _truth(column: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN date_trunc('{_precision(f)}', moment)" for i, f in enumerate(_FORMATS[column]))
+    return f"CASE l_orderkey % {len(_FORMATS[column])} {cases} END AS {column}"
+
+
+@query(
+    "b03b_date_formats",
+    v.sql_with(
+        "moments AS (SELECT l_orderkey, l_linenumber, l_shipdate + to_seconds((l_orderkey * 4001 + l_linenumber) % 86400) AS moment FROM lineitem)",
+        f"SELECT {_truth('day_time')}, {_truth('month_time')}, count(*) AS n_rows FROM moments GROUP BY 1, 2",
+    ),
+)
+def date_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of day and month is settled by each column's vote."""
+    second = (F.col("l_orderkey") * 4001 + F.col("l_linenumber")) % 86400
+    moment = F.col("l_shipdate") + F.make_dt_interval(secs=second.cast("decimal(18, 6)"))
+    rows = v.table(spark, sf, "lineitem").select("l_orderkey", moment.cast("timestamp_ntz").alias("moment"))
+    texts = []
+    for name, formats in _FORMATS.items():
+        text = F.lit(None).cast("string")
+        for i, fmt in enumerate(formats):
+            text = F.when(F.col("l_orderkey") % len(formats) == i, F.date_format("moment", fmt)).otherwise(text)
+        texts.append(text.alias(name))
+    rows = written(rows.select(*texts))
+    orders = {r["column"]: r["day_first"] for r in date_votes(rows).collect()}
+    typed = convert_datetimes(rows, day_first=orders)
+    return typed.groupBy(*_FORMATS).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("b04_drop_empty_rows", v.on_dirty("SELECT * EXCLUDE (copies) FROM folded f WHERE (SELECT count(*) FROM filled) > 0 AND " + "(" + " OR ".join(f'"{c}" IS NOT NULL' for c in v.DIRTY_COLUMNS) + ")"))
 def drop_empty(spark: SparkSession, sf: str) -> DataFrame:
     return drop_empty_rows(drop_repeated_rows(clean_missing(v.dirty(spark, sf))))
