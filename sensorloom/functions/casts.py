@@ -30,7 +30,13 @@ _NAMED = [
     *[(rf"^M(\d\d)[-/. ]*(\d{{1,2}})(?:st|nd|rd|th)?[-/., ]+{year}", f"{value}-$1-$2") for year, value in _YEARS],
     (r"^(\d{4})[-/. ]*M(\d\d)[-/. ]*(\d{1,2})", "$1-$2-$3"),
 ]
-_HALF = r"(?i)[,T ]\s*(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?(\.\d+)?\s*([ap])\.?m\.?$"
+_CLOCK = r"(:\d{2})?(:\d{2})?(\.\d+)?\s*"
+# Hours of two halves as hours of the day; each applies to one hour, so the text is used once.
+_HALVES = [
+    (rf"(?i)[,T ]\s*{early}{_CLOCK}{half}\.?m\.?$", f" {hour}$1$2$3")
+    for half, shift in (("a", 0), ("p", 12))
+    for early, hour in [("12", f"{shift:02d}"), *[(f"0?{h}", f"{h + shift:02d}") for h in range(1, 12)]]
+]
 _OFFSET = r"(\d:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
 
 # Which of two numbers can only be the day, for the vote of a column.
@@ -66,21 +72,9 @@ def _with_numbers(c: Column) -> Column:
     c = F.regexp_replace(c, _WEEKDAY, "")
     for i, name in enumerate(MONTHS, 1):
         c = F.regexp_replace(c, rf"(?i)(?<![a-z]){name}[a-z]*\.?", f"M{i:02d}")
-    for pattern, iso in _NAMED:
-        c = F.regexp_replace(c, pattern, iso)
-    part = lambda k: F.regexp_extract(c, _HALF, k)
-    hour = F.regexp_extract(c, _HALF, 1).try_cast("int")
-    late = F.when(F.lower(part(5)) == "p", 12).otherwise(0)
-    clock = F.concat(
-        F.regexp_replace(c, _HALF, " "),
-        F.lpad((hour % 12 + late).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.when(part(2) == "", "00").otherwise(part(2)),
-        F.lit(":"),
-        F.when(part(3) == "", "00").otherwise(part(3)),
-        part(4),
-    )
-    return F.when(hour.between(1, 12), clock).when(part(5) == "", c)
+    for pattern, text in (*_NAMED, *_HALVES, (r" (\d{2})$", " $1:00")):
+        c = F.regexp_replace(c, pattern, text)
+    return c
 
 
 def to_moment(c: Column, day_first: bool = True) -> Column:
