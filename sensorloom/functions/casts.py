@@ -63,6 +63,25 @@ def to_number(c: Column) -> Column:
     return nan_to_null(F.when(~suffixed, c).try_cast("double"))
 
 
+def canonical_number(c: Column) -> Column:
+    """One spelling for each number: 1, 1.0, +1.00 and 01 are 1. NULL if the text is no number.
+
+    Plain decimals keep all their digits, however many; only those with an exponent pass through a double.
+    """
+    plain = F.regexp_replace(c, r"^\+", "")
+    for pattern, text in (
+        (r"^(-?)0+(?=\d)", "$1"),
+        (r"^(-?)\.", "$10."),  # there is no tenth group, so this is the first and a zero
+        (r"(\.\d*?)0+$", "$1"),
+        (r"\.$", ""),
+        (r"^-0$", "0"),
+    ):
+        plain = F.regexp_replace(plain, pattern, text)
+    value = to_number(c)
+    whole = F.when((F.abs(value) < 1e15) & (value == F.floor(value)), value.cast("decimal(20, 0)").cast("string"))
+    return F.when(c.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), plain).otherwise(F.coalesce(whole, value.cast("string")))
+
+
 def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 

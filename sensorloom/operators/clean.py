@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import CATEGORIES
-from sensorloom.functions.casts import DAY_ONLY, MONTH_ONLY, clean_text, to_moment, to_number
+from sensorloom.functions.casts import DAY_ONLY, MONTH_ONLY, canonical_number, clean_text, to_moment, to_number
 from sensorloom.functions.names import (
     datetime_columns,
     find_by_keyword,
@@ -211,6 +211,60 @@ def fold_copies(df: DataFrame) -> DataFrame:
     return text.groupBy(*[col(c) for c in text.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
+def respelled(folded: DataFrame) -> tuple[list[str], list[str]]:
+    """Columns of numbers in more than one spelling, and columns of dates in more than one format.
+
+    A column counts as one of numbers if all its values are. One aggregate for all columns.
+    """
+    rows = folded.drop(COPIES)
+    dates = text_datetimes(rows)
+    others = [c for c in text_columns(rows) if c not in dates]
+    if not dates and not others:
+        return [], []
+    form = {c: F.regexp_replace(F.regexp_replace(col(c), "[0-9]", "9"), "[A-Za-z]+", "a") for c in dates}
+    found = rows.agg(
+        *[F.count_if(col(c).isNotNull() & to_number(col(c)).isNull()).alias(f"t{i}") for i, c in enumerate(others)],
+        *[F.count_if(canonical_number(col(c)) != col(c)).alias(f"s{i}") for i, c in enumerate(others)],
+        *[F.min(form[c]).alias(f"a{i}") for i, c in enumerate(dates)],
+        *[F.max(form[c]).alias(f"z{i}") for i, c in enumerate(dates)],
+    ).first()
+    numbers = [c for i, c in enumerate(others) if not found[f"t{i}"] and found[f"s{i}"]]
+    return numbers, [c for i, c in enumerate(dates) if found[f"a{i}"] != found[f"z{i}"]]
+
+
+def fold_by_value(
+    folded: DataFrame, numbers: Sequence[str], dates: Sequence[str], day_first: Mapping[str, bool] | None = None
+) -> DataFrame:
+    """Rows of fold_copies whose cells have the same values become one, and their copies add up.
+
+    Cells of the columns named take the one spelling of their value (numbers without needless zeros,
+    ISO dates), by which they are compared; what can't be read stays as it is.
+    """
+    orders = day_first or {}
+
+    def spelled(c: str) -> Column:
+        if c in numbers:
+            return F.coalesce(canonical_number(col(c)), col(c)).alias(c)
+        if c in dates:
+            return F.coalesce(to_moment(col(c), orders.get(c, True)).cast("string"), col(c)).alias(c)
+        return col(c)
+
+    rows = folded.select(*[spelled(c) for c in folded.columns])
+    return rows.groupBy(*[col(c) for c in rows.columns if c != COPIES]).agg(F.sum(COPIES).alias(COPIES))
+
+
+def distinct_by_value(df: DataFrame) -> DataFrame:
+    """Written: distinct rows of raw text, compared by the values of their cells, with their COPIES.
+
+    Copies are folded as text first, so that only distinct rows are looked at again.
+    """
+    folded = written(fold_copies(df))
+    numbers, dates = respelled(folded)
+    if not numbers and not dates:
+        return folded
+    return written(fold_by_value(folded, numbers, dates, column_votes(folded)[1]))
+
+
 def column_votes(folded: DataFrame) -> tuple[list[str], dict[str, bool]]:
     """Columns the vote makes numeric, and for the columns of dates whether the day comes first.
 

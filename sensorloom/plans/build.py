@@ -30,7 +30,7 @@ from sensorloom.config import (
 )
 from sensorloom.operators.audit import audit_report, district_list
 from sensorloom.operators.checks import require, require_unique
-from sensorloom.operators.clean import clean_folded, cleaning_report, col, fold_copies, column_votes
+from sensorloom.operators.clean import clean_folded, cleaning_report, col, column_votes, distinct_by_value
 from sensorloom.operators.district_day import (
     aggregate_violations,
     aggregation_report,
@@ -90,7 +90,7 @@ def clean_file(spark: SparkSession, path: str, category: str, out: str, name_to_
     The distinct rows are written once; the vote, the casts and the report all read them.
     """
     name = dataset_name(path)
-    folded = written(fold_copies(read_raw_csv(spark, path)))
+    folded = distinct_by_value(read_raw_csv(spark, path))
     numeric, day_first = column_votes(folded)
     write_report(cleaning_report(folded, name, category, numeric, day_first), f"{out}/reports/cleaning/{name}")
     write_table(clean_folded(folded, category, numeric, day_first), f"{out}/cleaned/{name}")

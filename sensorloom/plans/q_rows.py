@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.casts import to_day, to_number
 from sensorloom.operators.clean import (
+    COPIES,
     apply_range,
     clean,
     clean_missing,
     col,
     convert_datetimes,
     date_votes,
+    distinct_by_value,
     convert_numerics,
     drop_empty_rows,
     drop_repeated_rows,
@@ -345,6 +347,24 @@ def distinct_rows(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeated_rows(v.dirty(spark, sf))
 
 
+@query(
+    "g03b_distinct_by_value",
+    """SELECT CAST(l_suppkey AS DOUBLE) AS station, l_quantity AS quantity, CAST(l_shipdate AS TIMESTAMP) AS "time", l_returnflag AS note, count(*) AS copies
+      FROM lineitem GROUP BY ALL""",
+)
+def distinct_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers in six spellings and dates in three formats; rows of equal values are one row."""
+    kind, quantity = F.col("l_orderkey") % 6, F.col("l_quantity").cast("int").cast("string")
+    texts = (quantity, F.concat(quantity, F.lit(".0")), F.concat(F.lit("+"), quantity, F.lit(".00")), F.concat(F.lit("00"), quantity), F.concat(quantity, F.lit(".")), F.concat(quantity, F.lit("e0")))
+    number = F.element_at(F.array(*texts), (kind + 1).cast("int"))
+    formats = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "d MMMM yyyy")
+    moment = F.element_at(F.array(*[F.date_format("l_shipdate", f) for f in formats]), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    rows = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("station"), number.alias("quantity"), moment.alias("time"), F.col("l_returnflag").alias("note"))
+    found = distinct_by_value(rows)
+    typed = convert_datetimes(convert_numerics(found, ["station", "quantity"]))
+    return typed.select("station", "quantity", "time", "note", F.col(COPIES).alias("copies"))
+
+
 def _drifting(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of one file a year: from 1997 on, each year's file drifts from the first one's schema."""
     year, qty, tax = F.year("l_shipdate"), F.col("l_quantity").cast("bigint").cast("string"), F.col("l_tax").cast("string")
