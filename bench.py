@@ -14,7 +14,7 @@ from sensorloom.operators.audit import audit_report
 from sensorloom.operators.clean import clean
 from sensorloom.operators.district_day import district_day
 from sensorloom.operators.features import build_features, lag_features, rolling_features, spell_features
-from sensorloom.operators.master import join_categories, master_table, one_category
+from sensorloom.operators.master import join_categories, join_stored, master_table, one_category, store_by_key
 from sensorloom.operators.prep import fit_transform
 from sensorloom.operators.profile import column_profile, describe_all
 from sensorloom.plans import registry, views
@@ -63,12 +63,15 @@ def cases(spark: SparkSession) -> dict:
     cleaned = written(clean(text, "Humidity", views.DIRTY_NUMERIC))
     spec = default_features()
     frames = {c.name: one_category(daily, c.name) for c in CATEGORIES}
+    stored = store_by_key(daily)
     queries = registry.QUERIES
     return {
         "d01_district_day": lambda: run(queries["d01_district_day"](spark, SF_DIR)),
         "d01_from_readings": lambda: run(district_day(readings)),
         "c02_master_by_joins": lambda: run(join_categories(frames)),
         "c02b_master_by_pivot": lambda: run(master_table(daily)),
+        "c02c_master_from_stored": lambda: run(join_stored(stored)),
+        "c02d_pivot_of_stored": lambda: run(master_table(stored)),
         "e01_lags": lambda: run(lag_features(master, spec.lags)),
         "e02_to_e06_rolling": lambda: run(rolling_features(master, spec.rolling)),
         "e09_spells": lambda: run(spell_features(master, spec.trends)),

@@ -26,6 +26,7 @@ from sensorloom.config import (
 from sensorloom.errors import DataCheckError
 from sensorloom.functions.casts import to_day
 from sensorloom.operators.checks import require_columns, require_numeric
+from sensorloom.sources.scratch import scratch_folder
 
 LEFT_MARK, RIGHT_MARK = "_in_left", "_in_right"
 
@@ -79,6 +80,22 @@ def one_category(aggregated: DataFrame, category: str) -> DataFrame:
     return for_master(aggregated.where(F.col(CATEGORY) == category), category)
 
 
+def store_by_key(aggregated: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The district-day table stored by category, bucketed and sorted by the master keys.
+
+    Joins of categories and the pivot to the master table read it without an exchange of a stored
+    side, however often they run. The files lie in the folder that spark.checkpoint.dir names.
+    """
+    spark = aggregated.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = scratch_folder(spark)
+    name = "daily_" + folder.rsplit("/", 1)[-1]
+    # Rows of a bucket meet first, so that each bucket of a category is one file.
+    rows = aggregated.repartition(n, *MASTER_KEYS)
+    rows.write.partitionBy(CATEGORY).bucketBy(n, *MASTER_KEYS).sortBy(*MASTER_KEYS).option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
 def outer_join(left: DataFrame, right: DataFrame, marks: bool = False) -> DataFrame:
     """Full outer join on the master keys; the label is the left one, else the right one.
 
@@ -130,6 +147,23 @@ def join_categories(
     return reduce(outer_join, [frames[n] for n in _in_order(frames, order)])
 
 
+def join_stored(stored: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """The rows of join_categories from a table of store_by_key, without any exchange.
+
+    The result of a full outer join has no partitioning that Spark knows, so each further join would
+    shuffle it again. Here all distinct keys, which the buckets hold together, are the left side of one
+    left join for each category; those keep the partitioning of the buckets.
+    """
+    names = list(order or [c.name for c in CATEGORIES])
+    out = stored.where(F.col(CATEGORY).isin(*names)).select(*MASTER_KEYS).distinct()
+    labels = []
+    for i, name in enumerate(names):
+        out = out.join(one_category(stored, name).withColumnRenamed(DISTRICT, f"_label_{i}"), list(MASTER_KEYS), "left")
+        labels.append(f"_label_{i}")
+    rest = [c for c in out.columns if c not in (*MASTER_KEYS, *labels)]
+    return out.select(*MASTER_KEYS, F.coalesce(*labels).alias(DISTRICT), *rest)
+
+
 def join_steps(frames: Mapping[str, DataFrame], order: Sequence[str] | None = None) -> DataFrame:
     """Match statistics of every step of the fold, without running the fold."""
     names = _in_order(frames, order)

@@ -11,10 +11,12 @@ from sensorloom.operators.district_day import district_day
 from sensorloom.operators.master import (
     category_steps,
     join_categories,
+    join_stored,
     master_table,
     match_counts,
     one_category,
     outer_join,
+    store_by_key,
 )
 from sensorloom.operators.merge import merge_all, merge_pair
 from sensorloom.plans import views as v
@@ -51,6 +53,17 @@ def master_by_joins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(join_categories(frames).select(*MASTER_COLUMNS))
 
 
+@query("c02c_master_from_stored", v.on_readings(MASTER_SQL))
+def master_from_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The aggregate stored by its keys, and its categories joined where they lie."""
+    return rounded(join_stored(store_by_key(v.daily(spark, sf))).select(*MASTER_COLUMNS))
+
+
+@query("c02d_pivot_of_stored", v.on_readings(MASTER_SQL))
+def pivot_of_stored(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(master_table(store_by_key(v.daily(spark, sf))))
+
+
 @query("c02b_master_by_pivot", v.on_readings(MASTER_SQL))
 def master_by_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(master_table(v.daily(spark, sf)))

@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-from sensorloom.config import TargetSpec, default_features
+from sensorloom.config import CATEGORIES, TargetSpec, default_features
 from sensorloom.operators.district_day import district_day, station_days
 from sensorloom.operators.drift import drift_status
 from sensorloom.operators.features import build_features
+from sensorloom.operators.master import join_categories, join_stored, master_table, one_category, outer_join, store_by_key
 from sensorloom.operators.merge import merge_all, merge_pair
 from sensorloom.operators.target import with_target
 from sensorloom.plans import registry, views
@@ -67,6 +68,23 @@ def test_district_day_shuffles_twice(spark, sf):
     assert count(r"Exchange hashpartitioning", text) == 2
 
 
+def test_stored_categories_meet_without_an_exchange(spark, sf):
+    daily = views.daily(spark, sf)
+    stored = store_by_key(daily, 4)
+    names = [c.name for c in CATEGORIES]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of any size are joined
+    try:
+        pair = plan(outer_join(one_category(stored, names[0]), one_category(stored, names[1])))
+        folded, joined, pivot = plan(join_categories({n: one_category(stored, n) for n in names})), join_stored(stored), master_table(stored)
+        assert "Exchange" not in pair and "Exchange" not in plan(joined) and "Exchange" not in plan(pivot)
+        # Only results of joins are shuffled, never a scan.
+        assert not re.search(r"Exchange[^\n]*\n[^\n]*(?:Project|Filter|FileScan)[^\n]*(?:\n[^\n]*(?:Project|Filter|ColumnarToRow)[^\n]*)*\n[^\n]*FileScan", folded)
+        assert joined.select(*pivot.columns).exceptAll(pivot).count() == 0 and joined.count() == pivot.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def scans(spark, run) -> list[tuple[str, str]]:
     """Folder and columns of every file scan that run() executes, by the plans Spark ended with."""
     store = spark._jsparkSession.sharedState().statusStore()
