@@ -19,18 +19,18 @@ system. Their columns (shard, segment, first_token, n_docs, n_tokens) say which
 from __future__ import annotations
 
 import os
-import re
-from array import array
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import map_arrow, text_rows
+from sensorloom.llm.common import map_arrow
 from sensorloom.sources.scratch import scratch_folder
 
 BLOCK_IDS = 8192
@@ -39,8 +39,10 @@ SEGMENT_IDS = 2_000_000
 #: Characters of text for which one shard is planned, and the least and most shards.
 SHARD_CHARS = 1_000_000
 LEAST_SHARDS, MOST_SHARDS = 64, 16_384
-#: Words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 700_000, 64
+#: Words whose ids a worker remembers, and the characters (or ids) of them all.
+CACHE_WORDS, CACHE_CHARS = 700_000, 50_000_000
+#: Text that is encoded together.
+PIECE_BYTES = 1 << 22
 
 MAGIC = b"TPK1"
 
@@ -131,88 +133,165 @@ class Segment:
 
 
 #: Words of letters that have one code point in either case, and what may follow: their ids are those of
-#: the lower-case word and of the marks, which the tokenizers meant here split from letters.
-_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe]+)([.,!|]*)")
+#: the lower-case word and of the marks, if the tokenizer passes the probes.
+_SIMPLE = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-þ]+)(?P<marks>[.,!|]*)$"
+_PROBES = (("Abc", ("abc",)), ("ÀÞø", ("àþø",)), ("one.", ("one", ".")), ("One,!|", ("one", ",!|")), ("Two three.", ("two", "three", ".")), (" a\n\nb ", ("a", "b")))
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(definition: str):
-    """The tokenizer, the ids of words known so far, and for each id whether it ends a word."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Words:
+    """Ids of the words met so far, in one array, and the place of each word in it.
 
-    tokenizer = Tokenizer.from_str(definition)
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-    return tokenizer, {}, ends
+    A text is encoded blank by blank, and words of letters by their lower-case letters and marks. Both
+    is right for tokenizers that lower-case, split the marks from letters and end words by `</w>`; any
+    other is found out by the probes and encodes whole texts.
+    """
 
+    def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.by_words = all(ids(text) == [i for part in parts for i in ids(part)] for text, parts in _PROBES)
+        self.by_words &= all(ids(part) and self.ends[ids(part)[-1]] and self.ends[ids(part)].sum() == 1 for part in ("abc", "àþø", "three"))
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.ids, self.starts = np.empty(0, np.uint32), np.zeros(2, np.int64)
+        self.chars = 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.place)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.chars += sum(map(len, words))
+
+    def _learn(self, words: list[str], letters: bool) -> None:
+        """Add new words; words of letters are encoded as one text that is cut at the ends of words."""
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            if letters:
+                own = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+                cuts = np.flatnonzero(self.ends[own]) + 1
+                if len(cuts) == len(part) and cuts[-1] == len(own):
+                    ids.append(own)
+                    sizes.append(np.diff(cuts, prepend=0))
+                    continue
+            each = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            ids.append(np.array([i for x in each for i in x], np.uint32))
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        if words:
+            self._add(words, np.concatenate(ids), np.concatenate(sizes))
+
+    def _places(self, words: pa.Array, letters: bool) -> np.ndarray:
+        """The place of each word, new ones learned first; an empty or null word has none of its own."""
+        coded = words.fill_null("").dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([w for w in distinct if w not in self.place], letters)
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with the end id behind it, and how many each has."""
+        if not self.by_words:
+            found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, _SIMPLE)
+        simple = parts.is_valid()
+        others = pc.if_else(simple, "", coded.dictionary)
+        letters = self._places(pc.utf8_lower(parts.field("letters")).filter(simple), True)
+        marks = self._places(parts.field("marks").filter(simple), False)
+        pairs = np.zeros((len(coded.dictionary) + 1, 2), np.int64)
+        pairs[:-1, 0] = self._places(others, False)
+        at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        pairs[at, 0], pairs[at, 1] = letters, marks
+        # One more word, the end id, behind the words of each text.
+        starts, ids = self.starts, np.append(self.ids, np.uint32(end_id))
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets[1:] - offsets[0], len(pairs) - 1)
+        pieces = pairs[codes]
+        begin, size = starts[pieces], starts[pieces + 1] - starts[pieces]
+        last = offsets[1:] - offsets[0] + np.arange(len(texts))  # where the end ids stand
+        begin[last, 0], size[last, 0], size[last, 1] = len(self.ids), 1, 0
+        begin, size = begin.reshape(-1), size.reshape(-1)
+        done = np.cumsum(size)
+        out = ids[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - done + size, size)]
+        total = done[2 * last + 1] if len(last) else np.empty(0, np.int64)
+        if len(self.place) > CACHE_WORDS or self.chars > CACHE_CHARS or len(self.ids) > CACHE_CHARS:
+            self.forget()
+        return out, np.diff(total, prepend=0)
 
-def _ids_each(tokenizer, words: list[str]) -> Iterator[bytes]:
-    for e in tokenizer.encode_batch(words, add_special_tokens=False):
-        yield array("I", e.ids).tobytes()
 
+@lru_cache(maxsize=2)
+def _words(definition: str) -> Words:
+    return Words(definition)
 
-def _ids_together(tokenizer, words: list[str], ends: np.ndarray) -> Iterator[bytes]:
-    """Ids of words of letters, from one text of all of them, cut after each id that ends a word."""
-    ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-    cuts = (np.flatnonzero(ends[ids]) + 1) * 4
-    if len(cuts) != len(words) or (len(cuts) and cuts[-1] != 4 * len(ids)):
-        return _ids_each(tokenizer, words)
-    data = ids.tobytes()
-    return (data[x:y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True))
 
+def encode_texts(definition: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts with the end id behind each, and how many each text has; see Words."""
+    return _words(definition).encode(texts.fill_null(""), end_id)
 
-def _learn(tokenizer, known: dict[str, bytes], ends: np.ndarray, words: list[str]) -> None:
-    """Add the ids of the words to known."""
-    simple = {w: m.groups() for w in words if (m := _SIMPLE.fullmatch(w))}
-    letters = sorted({m[0].lower() for m in simple.values()} - known.keys())
-    for at in range(0, len(letters), 5_000):
-        part = letters[at : at + 5_000]
-        known.update(zip(part, _ids_together(tokenizer, part, ends), strict=True))
-    others = [w for w in {*words, *(m[1] for m in simple.values())} if w not in simple and w not in known]
-    for at in range(0, len(others), 5_000):
-        part = others[at : at + 5_000]
-        known.update(zip(part, _ids_each(tokenizer, part), strict=True))
-    for w, (letter, marks) in simple.items():
-        known[w] = known[letter.lower()] + known[marks] if marks else known[letter.lower()]
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in parts of PIECE_BYTES of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    done, at = np.append(0, np.cumsum(sizes)), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(done, done[at] + PIECE_BYTES, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
 
-def encode_texts(definition: str, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """Ids of each text and the end id.
 
-    No token of the tokenizers meant here reaches over white space, so that a text is encoded blank by
-    blank and the ids of words are remembered.
+class Shards:
+    """Numbers of shards by ascending doc_id, null first.
+
+    A doc_id that several shards' worth of rows share (a repeated bound, or null) has as many shards of
+    its own; its rows are dealt over them by a checksum of their ids.
     """
-    tokenizer, cache, ends = _tokenizer(definition)
-    end = np.array([end_id], "<u4").tobytes()
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    unknown = set().union(*split) - cache.keys()
-    long = {w for w in unknown if len(w) > CACHE_CHARS}
-    _learn(tokenizer, cache, ends, list(unknown - long))
-    for w, ids in zip(long, _ids_each(tokenizer, list(long)), strict=True):
-        cache[w] = ids
-    out = [np.frombuffer(b"".join(map(cache.__getitem__, words)) + end, "<u4") for words in split]
-    for w in long:
-        del cache[w]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    return out
-
-
-def _encode(definition: Broadcast, end_id: int, bounds: np.ndarray, wide: bool):
-    schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    kind = "<u4" if wide else "<u2"
+
+    def __init__(self, bounds: list[int], nulls: int) -> None:
+        self.bounds, self.times = np.unique(np.array(bounds, np.int64), return_counts=True)
+        self.times[self.times == 1] = 0
+        self.nulls = nulls if nulls > 1 else 0
+        # The shards of null, those below the first bound, then of each bound its own and the rest.
+        self.own = self.nulls + 1 + np.cumsum(self.times + 1) - (self.times + 1)
+
+    def number(self, doc: pa.Array, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        null = doc.is_null().to_numpy(zero_copy_only=False)
+        value = doc.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(self.bounds, value, side="right") - 1
+        out = np.where(at >= 0, (self.own + self.times)[at], self.nulls) if len(self.bounds) else np.full(len(value), self.nulls)
+        hot = (at >= 0) & (self.bounds[at] == value) & (self.times[at] > 0) & ~null if len(self.bounds) else np.zeros(len(value), bool)
+        first, shares = np.where(null, 0, self.own[at] if len(self.own) else 0), np.where(null, self.nulls, self.times[at] if len(self.own) else 0)
+        out[null] = 0
+        for i in np.flatnonzero(hot | (null & (self.nulls > 0))):
+            out[i] = first[i] + (zlib.crc32(ids[ends[i] : ends[i + 1]]) * int(shares[i]) >> 32)
+        return out.astype(np.int64)
+
+
+def _encode(definition: Broadcast, end_id: int, shards: Shards, wide: bool):
+    schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
+    kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = encode_texts(definition.value, [t for _, t in text_rows(batch)], end_id)
+            for batch in _pieces(whole):
+                ids, sizes = encode_texts(definition.value, batch.column(1), end_id)
                 doc = batch.column(0)
-                shard = np.searchsorted(bounds, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
-                data = pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), doc, pa.array([len(x) for x in ids], pa.int64()), data], schema=schema)
+                ends = np.append(0, np.cumsum(sizes))
+                shard = shards.number(doc, ids, ends)
+                ends = ends * kind.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(sizes), data.cast(pa.binary())], names=schema.names)
 
     return run, "shard long, doc_id long, n_tokens long, ids binary"
 
@@ -246,10 +325,10 @@ def _segments(bits: int, wide: bool):
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 1) -> None:
     """Write the ids of every text of docs (doc_id, text) as segments at path, in ascending doc_id order.
 
-    The tokenizer is read from tokenizer_file by the driver. Its tokens must not reach over blanks or
-    line ends. A null text is taken as empty and gives the end id alone. Rows without doc_id come
-    first; rows that share a doc_id follow each other, ordered by their ids. An empty table gives a
-    table without rows. Columns other than doc_id and text are left out.
+    The tokenizer is read from tokenizer_file by the driver. One that lower-cases, splits marks from
+    letters and ends words by `</w>` encodes distinct words, any other whole texts. A null text is taken as empty and gives the end id alone. Rows without doc_id come
+    first; rows that share a doc_id follow each other, ordered by their ids, or first by a checksum of
+    them where so many share it that they take several shards. An empty table gives a table without rows. Columns other than doc_id and text are left out.
     """
     from tokenizers import Tokenizer
 
@@ -258,14 +337,14 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, end_id: int =
     vocabulary = max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1)
     bits, wide = bits_for(vocabulary), vocabulary > 2**16
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chars, low, high = rows.agg(F.sum(F.length("text")), F.min("doc_id"), F.max("doc_id")).first()
+    chars, low, n, some = rows.agg(F.sum(F.length("text")), F.min("doc_id"), F.count(F.lit(1)), F.count("doc_id")).first()
     shards = min(MOST_SHARDS, max(LEAST_SHARDS, int((chars or 0) / SHARD_CHARS)))
-    bounds = np.empty(0, np.int64)
-    if low is not None and high > low:
+    bounds: list[int] = []
+    if low is not None:
         shares = [i / shards for i in range(1, shards)]
-        found = rows.agg(F.percentile_approx("doc_id", shares, 20 * shards)).first()[0]
-        bounds = np.unique(np.array(found, np.int64))
-    encoded = map_arrow(rows, *_encode(spark.sparkContext.broadcast(definition), end_id, bounds, wide))
+        bounds = rows.agg(F.percentile_approx("doc_id", shares, 20 * shards)).first()[0]
+    dealt = Shards(bounds, (n - some) * shards // n if n else 0)
+    encoded = map_arrow(rows, *_encode(spark.sparkContext.broadcast(definition), end_id, dealt, wide))
     ordered = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "ids")
     map_arrow(ordered, *_segments(bits, wide)).write.mode("errorifexists").parquet(path)
 
