@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.chars import BLANK, gram_hashes, plain
+from sensorloom.llm.chars import BLANK, plain
 from sensorloom.llm.common import map_arrow, text_rows
 
 #: Length of a q-gram, of a window and between windows, in characters of the plain text.
@@ -35,6 +36,10 @@ LEAST_CHARS = 40
 BLOCK_CHARS = 4_000_000
 #: Characters of a document that are looked up at a time.
 CHUNK = 1 << 20
+#: Matches of q-grams that are held at a time; beyond, the places are halved, then the items.
+MATCHES = 1 << 20
+#: Characters of a region in which a window is aligned once.
+REGION = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,7 @@ class Index:
 
 def build_index(every_item: list[tuple[int, np.ndarray]]) -> Index:
     items = [x for x in every_item if len(x[1]) >= LEAST_CHARS]
-    hashes = [gram_hashes(points, Q) for _, points in items]
+    hashes = [_grams(points) for _, points in items]
     item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
     place = np.concatenate([np.arange(len(h)) for h in hashes]) if items else np.empty(0, np.int64)
     every = np.concatenate(hashes) if items else np.empty(0, np.uint64)
@@ -80,15 +85,33 @@ _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
-def _powers(factor: int, n: int) -> np.ndarray:
-    out = np.full(n, factor, np.uint64)
+@lru_cache(maxsize=2)
+def _table(factor: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, factor, np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _powers(factor: int, n: int) -> np.ndarray:
+    return _table(factor, max(CHUNK + 2 * WINDOW, n).bit_length())[:n]
+
+
+def _grams(points: np.ndarray) -> np.ndarray:
+    """A hash of the q-gram at each place, by one difference of running sums."""
+    n = len(points) - Q + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    sums = _sums(points)
+    out = sums[Q:] - sums[:-Q]
+    out *= _powers(_FACTOR, n)
+    return out
+
+
 def _sums(points: np.ndarray) -> np.ndarray:
     """Running sums from which _run_hashes takes the hash of any run of characters."""
-    return np.append(np.uint64(0), np.cumsum(points * _powers(_INVERSE, len(points)), dtype=np.uint64))
+    out = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points * _powers(_INVERSE, len(points)), out=out[1:])
+    return out
 
 
 def _run_hashes(points: np.ndarray, begin: np.ndarray, sums: np.ndarray, n: int) -> np.ndarray:
@@ -128,16 +151,34 @@ def budget(n: int) -> int:
 
 
 def align(window: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int, int] | None:
-    """(edits, begin, end) of the part of region nearest to window, or None above e edits.
+    """(fewest edits, first begin, last end) of the parts of region within e edits of window, or None.
 
-    region is the band of the text around one diagonal, a few e longer than the window, and all of it
-    is filled. A window that occurs unchanged is found without filling.
+    Parts are those that end where no neighbouring end is nearer to the window. Where it occurs
+    unchanged, only what lies before the first and behind the last occurrence is filled.
     """
-    same = region.tobytes().find(window.tobytes())
-    while same >= 0 and same % 4:
-        same = region.tobytes().find(window.tobytes(), same + 1)
-    if same >= 0:
-        return 0, same // 4, same // 4 + len(window)
+    n, text = len(window), region.tobytes()
+    first = _find(text, window.tobytes(), 1)
+    if first < 0:
+        return _fill(window, region, e)
+    last = _find(text, window.tobytes(), -1)
+    begin, end = first, last + n
+    if first >= n - e and (before := _fill(window, region[: first + n - 1], e)):
+        begin = min(begin, before[1])
+    if len(region) - end >= n - e and (after := _fill(window, region[last + 1 :], e)):
+        end = max(end, last + 1 + after[2])
+    return 0, begin, end
+
+
+def _find(text: bytes, part: bytes, step: int) -> int:
+    """The first (step 1) or last (step -1) place of part in text, in whole code points."""
+    at = text.find(part) if step > 0 else text.rfind(part)
+    while at >= 0 and at % 4:
+        at = text.find(part, at + 1) if step > 0 else text.rfind(part, 0, at + len(part) - 1)
+    return at // 4 if at >= 0 else -1
+
+
+def _fill(window: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int, int] | None:
+    """As align, by filling a table of len(window) rows and len(region) columns."""
     n, m = len(window), len(region)
     far = np.int64(1 << 30)
     cost, begin = np.zeros(m + 1, np.int64), np.arange(m + 1)
@@ -155,8 +196,11 @@ def align(window: np.ndarray, region: np.ndarray, e: int) -> tuple[int, int, int
         cost, begin = run + columns, origin[source]
         if cost.min() > e:
             return None
-    best = int(np.argmin(cost))
-    return (int(cost[best]), int(begin[best]), best) if cost[best] <= e else None
+    near = cost <= e
+    near[1:] &= cost[1:] <= cost[:-1]
+    near[:-1] &= cost[:-1] < cost[1:]
+    ends = np.flatnonzero(near & (begin < columns))
+    return (int(cost[ends].min()), int(begin[ends].min()), int(ends.max())) if len(ends) else None
 
 
 def find_passages(text: str, index: Index) -> list[tuple[int, int, int, int]]:
@@ -201,20 +245,81 @@ def _short_items(points: np.ndarray, at: np.ndarray, index: Index) -> dict[int,
 
 def _long_items(points: np.ndarray, at: np.ndarray, index: Index, found: dict[int, list[int]]) -> None:
     """Add the items of which the text holds a window."""
-    where, which = [], []
+    places, low, high = [], [], []
     for c in range(0, len(points) - Q + 1, CHUNK):
-        hashes = gram_hashes(points[c : c + CHUNK + Q - 1], Q)
+        hashes = _grams(points[c : c + CHUNK + Q - 1])
         maybe = np.flatnonzero(index.filter[_slot(hashes, index.filter)])
-        low = np.searchsorted(index.hashes, hashes[maybe], side="left")
-        high = np.searchsorted(index.hashes, hashes[maybe], side="right")
+        if len(maybe):
+            places.append(maybe + c)
+            low.append(np.searchsorted(index.hashes, hashes[maybe], side="left"))
+            high.append(np.searchsorted(index.hashes, hashes[maybe], side="right"))
+    if places:
+        _matches(points, at, index, found, *(np.concatenate(x) for x in (places, low, high)), None)
+
+
+#: A region of a window reaches over fewer places than this.
+_REACH = WINDOW + 6 * (budget(WINDOW) + 1)
+
+
+def _matches(points, at, index: Index, found: dict, places: np.ndarray, low: np.ndarray, high: np.ndarray, only: np.ndarray | None) -> None:
+    """Look at the q-grams of the text that items share: place, first and last entry of the index.
+
+    Too many matches are halved: by place, each part with the places that a region may reach over, first
+    and last parts before those between; then by item (only: which entries of the index count). An item
+    that is found unchanged and reaches over a part already is left out there.
+    """
+    if not len(places):
+        return
+    if found:
+        begin, end = int(at[places[0]]), int(at[min(places[-1] + _REACH, len(at) - 1)]) + 1
+        done = [i for i, (item_id, _) in enumerate(index.items) if item_id in found and found[item_id][0] == 0 and found[item_id][1] <= begin and found[item_id][2] >= min(end, int(at[-1]) + 1)]
+        if done:
+            fresh = ~np.isin(index.item, done)
+            only = fresh if only is None else only & fresh
+    if only is not None:
+        sums = np.append(0, np.cumsum(only))
+        times = sums[high] - sums[low]
+    else:
         times = high - low
-        if not times.any():
-            continue
-        where.append(np.repeat(maybe + c, times))
-        which.append(np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum()))
-    if not where:
+    some = times > 0
+    if not some.all():
+        places, low, high, times = places[some], low[some], high[some], times[some]
+        if not len(places):
+            return
+    total = int(times.sum())
+    if total > MATCHES and places[-1] - places[0] > 4 * _REACH:
+        cut = places[0] + (places[-1] - places[0]) // 2
+        if only is None and places[-1] - places[0] > 64 * _REACH:
+            # The ends first: what they hold often settles what lies between.
+            a, b = places[0] + 4 * _REACH, places[-1] - 4 * _REACH
+            parts = [places <= a, places >= b, (places > a - _REACH) & (places < b + _REACH)]
+        else:
+            parts = [places <= cut + _REACH // 2, places > cut - _REACH // 2]
+        for part in parts:
+            if part.sum() < len(places):
+                _matches(points, at, index, found, places[part], low[part], high[part], only)
         return
-    where, which = np.concatenate(where), np.concatenate(which)
+    which = np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange((high - low).sum()) if only is None else None
+    if only is not None:
+        kept = np.flatnonzero(only)
+        first = np.searchsorted(kept, low)
+        which = kept[np.repeat(first - np.cumsum(times) + times, times) + np.arange(total)]
+        items = np.unique(index.item[kept])
+    else:
+        items = None
+    if total > MATCHES:
+        items = np.unique(index.item[which]) if items is None else items
+        if len(items) > 1:
+            half = items[len(items) // 2]
+            base = np.ones(len(index.item), bool) if only is None else only
+            for side in (index.item < half, index.item >= half):
+                _matches(points, at, index, found, places, low, high, base & side)
+            return
+    _verify(points, at, index, found, np.repeat(places, times), which)
+
+
+def _verify(points, at, index: Index, found: dict, where: np.ndarray, which: np.ndarray) -> None:
+    """Align the windows of items that share enough q-grams in a band of diagonals."""
     item, place = index.item[which], index.place[which]
     diagonal = where - place
     order = np.lexsort((diagonal, item))
@@ -225,20 +330,39 @@ def _long_items(points: np.ndarray, at: np.ndarray, index: Index, found: dict[in
         windows = index.windows[item[x]]
         if y - x < windows[:, 3].min():
             continue
+        near, far = int(where[x:y].min()), int(where[x:y].max())
+        reach = at[max(0, near - _REACH)], at[min(len(at) - 1, far + _REACH)]
         places = np.sort(place[x:y])
         shared = np.searchsorted(places, windows[:, 0] + windows[:, 1] - Q, side="right") - np.searchsorted(places, windows[:, 0])
         for begin, n, e, least in windows[shared >= windows[:, 3]].tolist():
+            known = found.get(item_id)
+            if known and known[0] == 0 and known[1] <= reach[0] and known[2] > reach[1]:
+                break  # nothing here can change it
             inside = (place[x:y] >= begin) & (place[x:y] <= begin + n - Q)
-            d = diagonal[x:y][inside]
-            for start in _bands(d, where[x:y][inside], e, least):
-                # A band spans diagonals start to start + 2 * (e + 1) - 1.
-                first = max(0, int(start) + begin - e)
-                last = min(len(points), int(start) + begin + n + 3 * (e + 1))
-                hit = align(whole[begin : begin + n], points[first:last], e)
-                if hit is None or hit[2] <= hit[1]:
-                    continue
-                edits, p, r = hit[0], int(at[first + hit[1]]), int(at[first + hit[2] - 1]) + 1
-                _add(found, item_id, edits, p, r)
+            starts = _bands(diagonal[x:y][inside], where[x:y][inside], e, least)
+            # A band spans diagonals start to start + 2 * (e + 1) - 1.
+            first = np.maximum(0, starts + begin - e)
+            last = np.minimum(len(points), starts + begin + n + 3 * (e + 1))
+            for a, b in _regions(first, last, at, known):
+                hit = align(whole[begin : begin + n], points[a:b], e)
+                if hit is not None and hit[2] > hit[1]:
+                    _add(found, item_id, hit[0], int(at[a + hit[1]]), int(at[a + hit[2] - 1]) + 1)
+
+
+def _regions(first: np.ndarray, last: np.ndarray, at: np.ndarray, known: list[int] | None) -> Iterator[tuple[int, int]]:
+    """Overlapping regions made one, up to about REGION characters; those that can't change known are left out."""
+    some = last > first
+    first, last = first[some], last[some]
+    if known and known[0] == 0 and len(first):
+        open_ = (at[first] < known[1]) | (at[last - 1] >= known[2])
+        first, last = first[open_], last[open_]
+    i = 0
+    while i < len(first):
+        j = i + 1
+        while j < len(first) and first[j] <= last[j - 1] and last[j] - first[i] <= REGION:
+            j += 1
+        yield int(first[i]), int(last[j - 1])
+        i = j
 
 
 def _bands(diagonal: np.ndarray, where: np.ndarray, e: int, least: int) -> np.ndarray:
@@ -246,9 +370,11 @@ def _bands(diagonal: np.ndarray, where: np.ndarray, e: int, least: int) -> np.nd
     if len(diagonal) < least:
         return np.empty(0, np.int64)
     w = e + 1
-    pairs = np.unique(np.stack([np.r_[diagonal // w, diagonal // w - 1], np.r_[where, where]], axis=1), axis=0)
-    bands, n = np.unique(pairs[:, 0], return_counts=True)
-    return bands[n >= least] * w
+    band, low = diagonal // w, int(where.min())
+    lowest, span = int(band.min()) - 1, int(where.max()) - low + 1
+    pairs = np.unique((np.r_[band, band - 1] - lowest) * span + np.r_[where, where] - low)
+    bands, n = np.unique(pairs // span, return_counts=True)
+    return (bands[n >= least] + lowest) * w
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
