@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import map_arrow
+from sensorloom.sources.scratch import written
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings of this and other common templates; none may occur in a role or text unescaped.
@@ -28,6 +29,8 @@ CONTROLS = (START, SEP, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</
 LEARNED = "assistant"
 #: Bytes of output that one buffer is planned for, and of a piece that is copied as a whole.
 BUFFER, PIECE = 16_000_000, 100_000
+#: Bytes of a conversation that one row holds; a longer one is cut between turns.
+CHUNK = 32_000_000
 
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 _TURN = re.compile(f"{re.escape(START)}(.*?){re.escape(SEP)}(.*?){re.escape(END)}", re.S)
@@ -107,46 +110,90 @@ def _format(table: pa.Table) -> pa.RecordBatch:
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Formatted chunks from rows sorted by conversation and chunk."""
     held: list[pa.RecordBatch] = []
 
-    def whole(table: pa.Table, last: bool) -> tuple[pa.Table, pa.Table | None]:
-        """The conversations that are complete, and the rest."""
-        if last:
-            return table, None
-        keys = table["conv_id"].to_pylist()
-        at = len(keys)
-        while at and keys[at - 1] == keys[-1]:
-            at -= 1
-        return table.slice(0, at), table.slice(at)
-
-    size = 0
+    def ends_open(table: pa.Table) -> int:
+        """The row with which the last chunk of the table, which may go on, begins."""
+        same = np.ones(table.num_rows, bool)
+        for c in ("conv_id", "chunk"):
+            column = table[c].combine_chunks()
+            null, value = column.is_null().to_numpy(zero_copy_only=False), column.fill_null(0).to_numpy(zero_copy_only=False)
+            same &= (null == null[-1]) & (value == value[-1])
+        other = np.flatnonzero(~same)
+        return int(other[-1]) + 1 if len(other) else 0
+
+    def chunks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        number = table["chunk"].combine_chunks().to_numpy()
+        at = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            found = _format(table.slice(a, b - a).drop_columns(["chunk"]))
+            column = pa.array(np.full(found.num_rows, number[a]), pa.int64())
+            yield pa.RecordBatch.from_arrays([found.column(0), column, *found.columns[1:]], names=["conv_id", "chunk", *found.schema.names[1:]])
+
+    size, wait = 0, BUFFER
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         size += batch.nbytes
-        if size >= BUFFER:
-            done, rest = whole(pa.Table.from_batches(held), last=False)
-            if done.num_rows:
-                yield _format(done)
-            held = rest.to_batches()
-            size = 0 if done.num_rows else size
+        if size >= wait:
+            table = pa.Table.from_batches(held)
+            begin = ends_open(table)
+            if begin:
+                yield from chunks(table.slice(0, begin))
+            held = table.slice(begin).to_batches()
+            size = sum(b.nbytes for b in held)
+            wait = max(BUFFER, 2 * size)  # a chunk is looked over as often as it doubles
     if held:
-        yield _format(pa.Table.from_batches(held))
+        yield from chunks(pa.Table.from_batches(held))
+
+
+def _with_chunks(rows: DataFrame) -> DataFrame:
+    """rows with the chunk of each: 0, but for conversations of more than CHUNK bytes.
+
+    Those are sorted in ranges, and a row's chunk is the bytes before it over CHUNK: the bytes of the
+    ranges before, one number each, and a running sum in the range.
+    """
+    weight = F.coalesce(F.octet_length("role"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0)) + len(START + SEP + END)
+    long = rows.groupBy("conv_id").agg(F.sum(weight.cast("long")).alias("bytes")).where(F.col("bytes") > CHUNK)
+    long = written(long.select(F.col("conv_id").alias("_long"), F.lit(True).alias("_is_long")))
+    single = F.lit(0).cast("long").alias("chunk", metadata={"single": True})
+    if long.isEmpty():
+        return rows.select("*", single)
+    # At most one for each CHUNK bytes; the rows of a long conversation are left where they are if it is broadcast.
+    marked = rows.join(long, F.col("conv_id").eqNullSafe(F.col("_long")), "left").drop("_long")
+    short = marked.where("_is_long is null").drop("_is_long").withColumn("chunk", F.lit(0).cast("long"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("conv_id", "turn", "role")
+    cut = marked.where("_is_long").drop("_is_long").withColumns({"_head": F.left("text", F.lit(64)), "_weight": weight.cast("long")})
+    cut = cut.repartitionByRange(parts, *keys, "_head").sortWithinPartitions(*keys, "text").drop("_head")
+    cut = written(cut.withColumn("_place", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_place", 33))
+    totals = cut.groupBy("conv_id", "_range").agg(F.sum("_weight").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    totals = totals.select(F.col("conv_id").alias("_conv"), F.col("_range").alias("_at"), before.alias("_before"))
+    cut = cut.join(totals, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_range") == F.col("_at")))
+    running = F.sum("_weight").over(Window.partitionBy("conv_id", "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_weight")
+    cut = cut.withColumn("chunk", F.floor((F.col("_before") + running) / CHUNK))
+    return short.unionByName(cut.select(*short.columns))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, formatted, loss_begin, loss_end) for each conversation of turns.
+    """(conv_id, chunk, n_turns, formatted, loss_begin, loss_end) for each conversation of turns.
 
     turns has conv_id, turn, role and text (and any other columns); a conversation's rows are ordered by
-    turn, a null turn first and ties by role and text. loss_begin and loss_end are the code points
+    turn, a null turn first and ties by role and text. A conversation of more than CHUNK bytes has
+    several rows, numbered by chunk, each with whole turns. loss_begin and loss_end are the code points
     of formatted between which the loss is taken: the escaped text of each assistant row. A null
     role or text is taken as empty; rows with a null conv_id are one conversation; repeated rows are
     repeated turns. An empty table gives an empty result.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.col(c).cast("string").alias(c) for c in ("role", "text")])
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(ordered, _run, "conv_id long, n_turns long, formatted string, loss_begin array<long>, loss_end array<long>")
+    rows = _with_chunks(rows)
+    marks = rows.schema["chunk"].metadata
+    ordered = rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
+    found = map_arrow(ordered, _run, "conv_id long, chunk long, n_turns long, formatted string, loss_begin array<long>, loss_end array<long>")
+    return found.withColumn("chunk", F.col("chunk").alias("chunk", metadata=marks))
 
 
 def read_chat(formatted: str) -> list[tuple[str, str]]:
@@ -155,22 +202,43 @@ def read_chat(formatted: str) -> list[tuple[str, str]]:
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what is read back from the result of format_chats."""
+    """Counts and digests of what is read back from the result of format_chats.
+
+    Chunks of one conversation are read in order as a stream; a digest can only be computed so.
+    """
     kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return map_arrow(formatted, _digests, kinds)
+    if not formatted.schema["chunk"].metadata.get("single"):
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
+    return map_arrow(formatted.select("conv_id", "chunk", "formatted", "loss_begin", "loss_end"), _digests, kinds)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            turns = read_chat(r["formatted"])
-            learned = "".join(unescape(r["formatted"][a:b]) for a, b in zip(r["loss_begin"], r["loss_end"], strict=True))
-            marked = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((r["conv_id"], len(turns), _sha256(marked), len(learned), _sha256(learned), len(r["formatted"])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
+    conv, sums, state = None, [0, 0, 0], None
+
+    def row() -> tuple:
+        return conv, sums[0], state[0].hexdigest(), sums[1], state[1].hexdigest(), sums[2]
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-def _sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            conv_id, chunk, text, begin, end = (batch.column(c)[i].as_py() for c in ("conv_id", "chunk", "formatted", "loss_begin", "loss_end"))
+            if state is None or chunk == 0 or conv_id != conv:
+                if state is not None:
+                    rows.append(row())
+                conv, sums, state = conv_id, [0, 0, 0], (hashlib.sha256(), hashlib.sha256())
+            for role, said in read_chat(text):
+                sums[0] += 1
+                state[0].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            for a, b in zip(begin, end, strict=True):
+                learned = unescape(text[a:b])
+                sums[1] += len(learned)
+                state[1].update(learned.encode("utf-8", "surrogatepass"))
+            sums[2] += len(text)
+        if rows:
+            yield table(rows)
+    if state is not None:
+        yield table([row()])

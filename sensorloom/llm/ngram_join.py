@@ -1,6 +1,8 @@
 """Documents whose word-shingle sets reach a Jaccard similarity, joined exactly.
 
-Sets that differ in at most H shingles, dealt by hash into H + 1 parts, have a part in common. Two
+Sets that differ in at most H shingles, dealt by hash into H + 1 + E parts, have E + 1 parts in common;
+one of them holds a shingle unless both sets leave more than E parts empty, and those share one of their
+first shingles in the order of the hashes. So empty parts, which all sets have in common, are left out. Two
 sets that link have sizes in one band or in neighbouring ones, and the sizes of a band bound H, so the
 hashes of parts find the pairs that can link (all of them for 0.88 and more; for less see part_hashes).
 Pairs that share a part make up candidate clusters;
@@ -48,7 +50,8 @@ def most_different(tile: int, percent: int) -> int:
 def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
     """One hash for each part of the set, in the tile of its own band and the one below it.
 
-    Below a similarity of about 0.88 a part holds few shingles, and one with none or one would join
+    A set that leaves more parts empty than are spare gives its first shingles as well, so many that it
+    shares one with any set it links with. Below a similarity of about 0.88 a part holds few shingles, and one with none or one would join
     sets that have little in common. There, parts with fewer than two are left out, which loses a pair
     only if all parts it has in common are so small: with more than SMALL shingles, less than one
     pair in 10,000 of those just at the threshold. Smaller sets are found by their first shingles in
@@ -56,14 +59,17 @@ def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
     """
     n = len(shingles)
     sparse = (100 + percent) < 8 * 2 * (100 - percent)
+    first_ones = mix(shingles[: n + (-percent * n // 100) + 1] ^ np.uint64(0x5A5A))
     out = []
     if sparse and n * percent <= SMALL * 100:
-        out.append(mix(shingles[: n + (-percent * n // 100) + 1] ^ np.uint64(0x5A5A)))
+        out.append(first_ones)
     if sparse and n <= SMALL:
         return out[0]
     band = band_of(n, percent)
     for tile in (band - 1, band):
         parts = most_different(tile, percent) + 1
+        spare = 0 if sparse else 1 + parts // 200
+        parts += spare
         salt = np.uint64(tile + 2)
         part = (mix(shingles + salt) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -72,8 +78,11 @@ def part_hashes(shingles: np.ndarray, percent: int) -> np.ndarray:
         sums = np.zeros(parts, np.uint64)
         sums[part[first]] = np.add.reduceat(mix(shingles[order] ^ np.uint64(0xA5A5)), first)
         sums += mix(np.arange(parts, dtype=np.uint64) + (salt << np.uint64(40)))
-        out.append(mix(sums)[np.bincount(part, minlength=parts) >= 2] if sparse else mix(sums))
-    return np.concatenate(out)
+        held = np.bincount(part, minlength=parts)
+        out.append(mix(sums)[held >= (2 if sparse else 1)])
+        if not sparse and parts - np.count_nonzero(held) > spare:
+            out.append(first_ones)
+    return np.unique(np.concatenate(out))
 
 
 def _profiles(k: int):
