@@ -1,6 +1,6 @@
 """Language of a text from n-grams held in a bit-sliced Bloom filter.
 
-A slot of the filter is a number with one bit for each language, so that one look at a few slots and
+A slot of the filter holds one bit for each language, in as many words as they take, so that one look at a few slots and
 their common bits give all languages of an n-gram. For each language the n-grams of a text with its
 bit are counted; what the filter reports by chance, known from how full each language's bits are, is
 taken off; the largest share decides.
@@ -10,15 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.llm.chars import BLANK, gram_hashes, plain
 from sensorloom.llm.common import map_arrow, text_rows
+from sensorloom.sources.scratch import written
 
 #: Lengths of the n-grams. They reach over one blank between words.
 GRAMS = (3, 5)
@@ -27,7 +30,7 @@ FIT_ROWS = 20_000
 #: An n-gram is a language's if it makes up LEAST_RATE of that language's n-grams (which bounds their
 #: number) and at least NEAR times the rate of the language in which it is most common.
 LEAST_RATE, NEAR = 1e-5, 0.25
-MOST_LANGUAGES = 64
+WORD = 64
 HASHES = 3
 #: Characters of a text that are looked up at a time.
 CHUNK = 1 << 20
@@ -45,7 +48,7 @@ def padded(text: str) -> np.ndarray:
 class LanguageModel:
     languages: tuple[str, ...]
     common: int  # the language of a text in which no known n-gram occurs
-    slots: np.ndarray
+    slots: np.ndarray  # one word a slot, or a row of 64-bit words for more than 64 languages
     chance: np.ndarray  # share of unknown n-grams that each language's bits report
 
     def places(self, grams: np.ndarray, i: int) -> np.ndarray:
@@ -58,6 +61,11 @@ class LanguageModel:
             out &= self.slots[self.places(grams, i)]
         return out
 
+    def counts(self, masks: np.ndarray) -> list[int]:
+        """For each language, the masks that hold its bit."""
+        words = masks.reshape(len(masks), -1)
+        return [np.count_nonzero(words[:, i // WORD] & np.array(1 << i % WORD, words.dtype)) for i in range(len(self.languages))]
+
     def predict(self, text: str) -> tuple[str, float]:
         points = padded(text)
         if not len(points) or not self.languages:
@@ -71,7 +79,7 @@ class LanguageModel:
                     found = np.bincount(masks.astype(np.int64), minlength=1 << len(self.languages))
                     hits += [found[(np.arange(len(found)) >> i) & 1 == 1].sum() for i in range(len(self.languages))]
                 else:
-                    hits += [np.count_nonzero(masks & np.array(1 << i, masks.dtype)) for i in range(len(self.languages))]
+                    hits += self.counts(masks)
         if not total:
             return self.languages[self.common], 0.0
         share = np.clip((hits / total - self.chance) / (1 - self.chance), 0, 1)
@@ -111,13 +119,11 @@ def _count(languages: dict[str, int]):
 def fit_languages(train: DataFrame) -> LanguageModel:
     """The model of train (text, lang, and any others). Rows with a null text or lang are left out.
 
-    At most 64 languages. Of each, FIT_ROWS rows or about as many are used; a text is in or out by its
-    hash, copies alike. Without rows, the model has no language and each prediction is `und`.
+    There may be any number of languages; each takes a bit of a slot. Of each, FIT_ROWS rows or about as
+    many are used; a text is in or out by its hash, copies alike. Without rows, the model has no language and each prediction is `und`.
     """
     rows = train.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = tuple(sorted(sizes))
     common = max(range(len(names)), key=lambda i: (sizes[names[i]], -i), default=0)
     if not names:
@@ -127,20 +133,21 @@ def fit_languages(train: DataFrame) -> LanguageModel:
     counts = map_arrow(chosen, *_count({k: i for i, k in enumerate(names)})).groupBy("gram").agg(
         *[F.sum(F.when(F.col("language") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(names))]
     )
+    counts = written(counts)  # read for the totals and for the masks
     totals = counts.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).first()
     rates = [F.col(f"n{i}") / F.lit(max(1, totals[i] or 0)) for i in range(len(names))]
     most = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    bit = [F.when((r >= LEAST_RATE) & (r >= NEAR * most), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(0) for i, r in enumerate(rates)]
-    mask = bit[0]
-    for b in bit[1:]:
-        mask = mask.bitwiseOR(b)
-    known = counts.select("gram", mask.cast("long").alias("mask")).where("mask <> 0").toPandas()
+    bit = [F.when((r >= LEAST_RATE) & (r >= NEAR * most), F.lit(1 << i % WORD if i % WORD < 63 else -(1 << 63))).otherwise(0) for i, r in enumerate(rates)]
+    masks = [reduce(Column.bitwiseOR, bit[i : i + WORD]).cast("long").alias(f"mask{i // WORD}") for i in range(0, len(bit), WORD)]
+    some = reduce(or_, (F.col(f"mask{w}") != 0 for w in range(len(masks))))
+    known = counts.select("gram", *masks).where(some).toPandas()
     size = 1 << max(10, int(8 * len(known)).bit_length())
-    kind = next(k for k, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= b)
-    model = LanguageModel(names, common, np.zeros(size, kind), np.zeros(len(names)))
+    kind = next((k for k, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= b), np.uint64)
+    words = np.stack([known[f"mask{w}"].to_numpy().view(np.uint64).astype(kind) for w in range(len(masks))], axis=1)
+    model = LanguageModel(names, common, np.zeros((size, len(masks)) if len(masks) > 1 else size, kind), np.zeros(len(names)))
     for i in range(HASHES):
-        np.bitwise_or.at(model.slots, model.places(known["gram"].to_numpy().view(np.uint64), i), known["mask"].to_numpy().view(np.uint64).astype(kind))
-    full = [np.count_nonzero(model.slots & np.array(1 << i, kind)) / size for i in range(len(names))]
+        np.bitwise_or.at(model.slots, model.places(known["gram"].to_numpy().view(np.uint64), i), words if len(masks) > 1 else words[:, 0])
+    full = [n / size for n in model.counts(model.slots)]
     return LanguageModel(names, common, model.slots, np.array(full) ** HASHES)
 
 
