@@ -45,7 +45,7 @@ MAIN = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|noframes|template|textarea|title|svg|math|iframe|object|select|button)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|noframes|template|textarea|title|svg|math|iframe|object|select|button|video|audio|canvas|datalist)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -53,6 +53,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[^a-z0-9]+")
 
+_MASK = (1 << 64) - 1
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
 
 @dataclass
 class Element:
@@ -72,14 +76,27 @@ class Page:
     holder: list[int] = field(default_factory=list)
 
 
+def _marks(attrs: str | None) -> frozenset[str]:
+    """Words of class and id."""
+    if not attrs:
+        return frozenset()
+    names = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTR.finditer(attrs)}
+    return frozenset(w for w in _WORD.split(f"{names.get('class', '')} {names.get('id', '')}") if w)
+
+
 def parse(source: str) -> Page:
     """Blocks and block-level elements of a page, unclosed and misplaced tags as browsers take them."""
     page, stack, text = Page(), [], []
     page.elements.append(Element("html", frozenset(), False, "", -1, 0))
     stack.append(0)
     hidden = 0
+    #: An inline element that is no text: its tag, how deep it is open, where it begins, blocks open around it.
+    inline: list | None = None
 
     def flush() -> None:
+        if inline:
+            del text[inline[2] :]
+            inline[2] = 0
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
@@ -111,12 +128,21 @@ def parse(source: str) -> Page:
         if tag == "br":
             text.append(" ")
         if tag not in BLOCKS or tag in ("html", "body"):
+            if inline and tag == inline[0]:
+                inline[1] += -1 if m["end"] else 1
+                if not inline[1]:
+                    del text[inline[2] :]
+                    inline = None
+            elif not inline and not m["end"] and tag not in VOID and (tag == "label" or _marks(m["attrs"]) & NO_TEXT):
+                inline = [tag, 1, len(text), len(stack)]
             continue
         flush()
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if page.elements[stack[i]].tag == tag:
                     close(i)
+                    if inline and len(stack) < inline[3]:
+                        inline = None  # never closed: it ends with the block around it
                     break
                 if page.elements[stack[i]].tag in ("article", "main", "td", "table") and tag in PROSE:
                     break
@@ -128,6 +154,8 @@ def parse(source: str) -> Page:
             close(len(stack) - 1)
         if page.elements[stack[-1]].tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "p"):
             close(len(stack) - 1)
+        if inline and len(stack) < inline[3]:
+            inline = None
         names = {"class": "", "id": "", "role": ""}
         for a in _ATTR.finditer(m["attrs"] or ""):
             names[a[1].lower()] = (a[2] or a[3] or a[4] or "").lower()
@@ -171,14 +199,21 @@ def marked(page: Page) -> tuple[list[bool], list[bool], bool]:
 
 
 def subtree_keys(page: Page, host: str) -> list[int]:
-    """For each element a hash of the host, its tag and marks, and all text within."""
+    """For each element a hash of the host, its tag and marks, and all text within.
+
+    The text within is a run of blocks: its hash is a difference of running sums, so that an element
+    costs the same however deep others lie in it.
+    """
+    sums, shift, inverse = [0], 1, [1]
+    for block in page.blocks:
+        sums.append((sums[-1] + (xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass")) | 1) * shift) & _MASK)
+        shift = shift * _FACTOR & _MASK
+        inverse.append(inverse[-1] * _INVERSE & _MASK)
     out = []
     for e in page.elements:
-        h = xxhash.xxh3_64(f"{host}\0{e.tag}\0{' '.join(sorted(e.marks))}\0")
-        for block in page.blocks[e.first : e.end]:
-            h.update(block.encode("utf-8", "surrogatepass"))
-            h.update(b"\n")
-        out.append(h.intdigest() - 2**63)
+        text = (sums[e.end] - sums[e.first]) * inverse[e.first] & _MASK
+        own = f"{host}\0{e.tag}\0{' '.join(sorted(e.marks))}\0{e.end - e.first}\0{text}"
+        out.append(xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")) - 2**63)
     return out
 
 
