@@ -1,10 +1,12 @@
 """Exact largest inner products through a pivot-distance index.
 
 With one more coordinate, the root of what a vector's squared length lacks to the largest, the largest
-inner products with a query are the nearest neighbours of the query with a zero there. Each vector is
-keyed by its nearest pivot and its ring of distances to that pivot. A query first visits the rings that
-can be nearest, until they hold enough vectors; the score it then has bounds its distance, and the
-triangle inequality leaves only the rings that can hold anything as near. A ring is cut into blocks of
+inner products with a query are the nearest neighbours of the query with a zero there. Pivots are
+vectors that lie far apart. Each vector is keyed by its nearest pivot and its ring of distances to that
+pivot, and each ring knows between which distances from the other pivots its vectors lie. A query first
+visits the rings that can be nearest, until they hold enough vectors; the score it then has bounds its
+distance, and the triangle inequality, applied to every pivot, leaves only the rings that can hold
+anything as near. A ring is cut into blocks of
 bounded rows, so that a vector that is repeated often spreads over many tasks.
 """
 
@@ -23,6 +25,10 @@ from sensorloom.sources.scratch import written
 
 #: Vectors for which one ring is planned, and the least and most rings.
 RING_ROWS, LEAST_RINGS, MOST_RINGS = 2_000, 16, 65_536
+#: Vectors for each of which there is one pivot, the most pivots, and the vectors they are chosen from.
+PIVOT_ROWS, MOST_PIVOTS, PIVOT_SAMPLE = 8, 256, 4_096
+#: Numbers that the distances of all rings from pivots take at most, in either direction.
+INTERVALS = 8_000_000
 BLOCK_ROWS = 4_096
 #: Times k vectors that the first rings visited by a query hold together.
 FIRST = 4
@@ -38,11 +44,19 @@ class Rings:
     low: np.ndarray
     high: np.ndarray
     rows: np.ndarray
+    nearest: np.ndarray  # of each ring, the least distance to each of the first pivots
+    farthest: np.ndarray
 
     def lower_bounds(self, queries: np.ndarray) -> np.ndarray:
         """Least distance of each query (a row) to anything in each ring (a column)."""
-        d = distances(np.pad(queries, ((0, 0), (0, 1))), self.pivots)[:, self.pivot]
-        return np.maximum(0, np.maximum(d - self.high, self.low - d))
+        every = distances(np.pad(queries, ((0, 0), (0, 1))), self.pivots)
+        d = every[:, self.pivot]
+        least = np.maximum(0, np.maximum(d - self.high, self.low - d))
+        for j in range(self.nearest.shape[1]):
+            d = every[:, j, None]
+            np.maximum(least, d - self.farthest[:, j], out=least)
+            np.maximum(least, self.nearest[:, j] - d, out=least)
+        return least
 
     def blocks(self) -> np.ndarray:
         return -(-self.rows // BLOCK_ROWS)
@@ -59,6 +73,50 @@ def raised(vectors: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([vectors, rest[:, None]], axis=1)
 
 
+def far_apart(vectors: np.ndarray, n: int) -> np.ndarray:
+    """n of the vectors, each the one farthest from those before it."""
+    chosen, least = [0], distances(vectors, vectors[:1])[:, 0]
+    while len(chosen) < min(n, len(vectors)):
+        chosen.append(int(np.argmax(least)))
+        least = np.minimum(least, distances(vectors, vectors[chosen[-1:]])[:, 0])
+    return vectors[chosen]
+
+
+def _intervals(pivots: np.ndarray, most: float):
+    """Of each ring, the least and the largest distance of its vectors to each pivot, rounded outwards."""
+    schema = pa.schema([("ring", pa.int64()), ("near", pa.binary()), ("far", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[int, np.ndarray] = {}
+        far: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ring = batch.column(0).to_numpy()
+            order = np.argsort(ring, kind="stable")
+            d = distances(raised(matrix(batch.column(1)).astype(np.float64), most), pivots)[order]
+            at = np.flatnonzero(np.r_[True, np.diff(ring[order]) > 0])
+            for r, low, high in zip(ring[order][at].tolist(), np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), strict=True):
+                near[r] = np.minimum(near[r], low) if r in near else low
+                far[r] = np.maximum(far[r], high) if r in far else high
+        if near:
+            low = [np.nextafter(near[r].astype("<f4"), np.float32(-np.inf)).tobytes() for r in near]
+            high = [np.nextafter(far[r].astype("<f4"), np.float32(np.inf)).tobytes() for r in near]
+            yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], schema=schema)
+
+    return run, "ring long, near binary, far binary"
+
+
+def _merged(found: DataFrame, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals of the rings in the order of keys; each task has one row a ring."""
+    near, far = np.full((len(keys), n), np.inf, np.float32), np.full((len(keys), n), -np.inf, np.float32)
+    for r in found.toLocalIterator():
+        i = int(np.searchsorted(keys, r["ring"]))
+        np.minimum(near[i], np.frombuffer(r["near"], "<f4"), out=near[i])
+        np.maximum(far[i], np.frombuffer(r["far"], "<f4"), out=far[i])
+    return near, far
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """The vectors of a binary column as rows of whole numbers."""
     data = column.to_pylist()
@@ -198,6 +256,14 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def visited_share(index: Rings, queries: np.ndarray, kth: np.ndarray) -> float:
+    """Share of all vectors that lie in rings which the bounds leave to queries with these k-th scores."""
+    squares = (queries * queries).sum(1)
+    reach = np.sqrt(np.maximum(squares + index.most - 2 * kth, 0))
+    left = index.lower_bounds(queries) <= reach[:, None]
+    return float((left * index.rows).sum() / (len(queries) * index.rows.sum()))
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest inner products of each query, exact.
 
@@ -217,19 +283,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024) -
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     whole = whole.where(F.col("dim") == sizes["dim"])
     cells = min(MOST_RINGS, max(LEAST_RINGS, sizes["n"] // RING_ROWS))
-    n_pivots = int(np.ceil(np.sqrt(cells)))
+    n_pivots = int(min(MOST_PIVOTS, max(np.ceil(np.sqrt(cells)), sizes["n"] // PIVOT_ROWS)))
     rings = -(-cells // n_pivots)
-    # Pivots are vectors spread by a hash; sorted by it, so that the same rows give the same pivots.
-    chosen = whole.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(n_pivots).collect()
+    # Pivots are among vectors spread by a hash; sorted by it, so that the same rows give the same pivots.
+    chosen = whole.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(PIVOT_SAMPLE).collect()
     most = float(sizes["most"])
-    pivots = raised(np.stack([np.frombuffer(r["vector"], "<i8") for r in chosen]).astype(np.float64), most)
+    pivots = far_apart(raised(np.stack([np.frombuffer(r["vector"], "<i8") for r in chosen]).astype(np.float64), most), n_pivots)
     keyed = written(map_arrow(whole.select("vec_id", "vector"), *_keyed(pivots, most)))
     shares = [i / rings for i in range(1, rings)] or [0.5]
     bounds = {r["pivot"]: np.unique(r["cuts"]) for r in keyed.groupBy("pivot").agg(F.percentile_approx("distance", shares, 1000).alias("cuts")).collect()}
     placed = written(map_arrow(keyed, *_placed(bounds, rings + 1)))
     found = placed.groupBy("ring").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count(F.lit(1)).alias("n")).orderBy("ring").toPandas()
     keys = found["ring"].to_numpy()
-    index = Rings(pivots, most, keys // (rings + 1), found["low"].to_numpy(), found["high"].to_numpy(), found["n"].to_numpy())
+    own = (found["low"].to_numpy(), found["high"].to_numpy(), found["n"].to_numpy())
+    n_bounds = max(1, min(len(pivots), INTERVALS // len(keys)))
+    gathered = map_arrow(placed.select("ring", "vector").repartition("ring"), *_intervals(pivots[:n_bounds], most))
+    index = Rings(pivots, most, keys // (rings + 1), *own, *_merged(gathered, keys, n_bounds))
     table = spark.createDataFrame([(int(a), int(b)) for a, b in zip(keys, index.blocks(), strict=True)], "ring long, blocks long")
     blocked = placed.join(F.broadcast(table), "ring").select("ring", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), F.lit(0).alias("kind"), "vec_id", "vector")
     asked = whole.where(queries).select("vec_id", "vector")

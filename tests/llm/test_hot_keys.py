@@ -53,3 +53,29 @@ def test_random_sets_share_no_hash(n):
     rng = np.random.default_rng(n)
     hashes = np.concatenate([ngram_join.part_hashes(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 90) for _ in range(4_000)])
     assert len(np.unique(hashes)) == len(hashes)
+
+
+def test_bounds_leave_rings_out_and_lose_nothing(spark, monkeypatch):
+    """Vectors around centres: most rings are left out, and the answers are those of a full comparison."""
+    from pyspark.sql import functions as F
+
+    from sensorloom.llm import topk_index
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 2_000)] + rng.normal(scale=0.05, size=(2_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    seen = []
+    visits = topk_index._visits
+    monkeypatch.setattr(topk_index, "_visits", lambda index, keys, k, later: (seen.append(index), visits(index, keys, k, later))[1])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_index.top_k(rows, F.col("vec_id") % 100 == 0).collect()}
+    whole = np.floor(1024 * x).astype(np.int64)
+    kth = []
+    for q in range(0, 2_000, 100):
+        score = whole @ whole[q]
+        best = [i for i in np.lexsort((np.arange(2_000), -score)) if i != q][:10]
+        assert [found[q, n] for n in range(1, 11)] == [(i, score[i]) for i in best]
+        kth.append(score[best[-1]])
+    share = topk_index.visited_share(seen[-1], whole[::100].astype(float), np.array(kth, float))
+    assert share < 0.2
