@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import small_side
 from sensorloom.sources.scratch import written
 
-#: Sources whose rates a join may broadcast; their arrays are some hundred bytes at usual rates.
-BROADCAST_SOURCES = 20_000
+#: Probabilities of all sources together that a join may broadcast, eight bytes each.
+BROADCAST_NUMBERS = 1_000_000
 #: A hash is cut to so many hexadecimal digits, which a double holds exactly.
 DIGITS = 13
 
@@ -23,20 +22,21 @@ def uniform(seed: str, *parts: str | Column) -> Column:
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def cumulative_poisson(mean: Column) -> Column:
-    """The Poisson distribution's cumulative probabilities of 0, 1, 2 and so on, as far as they count.
+def with_poisson(sources: DataFrame) -> DataFrame:
+    """sources (__source, __mean) with __below: the Poisson distribution's cumulative probabilities of 0, 1, 2 and so on.
 
-    Summed from logarithms, so that large means do not vanish.
+    As far as they count, and summed from logarithms, so that large means do not vanish. Running sums over
+    one row for each number take time in proportion to the mean.
     """
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int")
-    start = F.struct(F.lit(0.0).alias("log"), F.array().cast("array<double>").alias("out"))
-
-    def step(state: Column, k: Column) -> Column:
-        log = F.when(k == 0, -mean).otherwise(state["log"] + F.log(mean) - F.log(k.cast("double")))
-        below = F.when(k == 0, F.lit(0.0)).otherwise(F.element_at(state["out"], -1))
-        return F.struct(log.alias("log"), F.concat(state["out"], F.array(below + F.exp(log))).alias("out"))
-
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["out"]))
+    mean = F.col("__mean")
+    last = F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("long")
+    rows = sources.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    so_far = Window.partitionBy("__source").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    term = F.when(F.col("__k") == 0, -mean).otherwise(F.log(mean) - F.log(F.greatest(F.col("__k"), F.lit(1)).cast("double")))
+    rows = rows.withColumn("__log", F.sum(term).over(so_far))
+    rows = rows.withColumn("__c", F.sum(F.exp("__log")).over(so_far))
+    listed = F.sort_array(F.collect_list(F.struct("__k", "__c")))
+    return rows.groupBy("__source").agg(F.transform(listed, lambda r: r["__c"]).alias("__below"))
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, seed: str = "mix") -> DataFrame:
@@ -63,8 +63,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     whole = sizes.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     goal, sum_w = float(total if total is not None else whole["n"] or 0), float(whole["w"] or 0)
     mean = F.lit(goal) * F.col("w") / F.lit(sum_w or 1.0) / F.col("n")
-    rates = written(sizes.where("w > 0").select(F.col("source").alias("__source"), cumulative_poisson(mean).alias("__below")))
-    joined = rows.join(small_side(rates, BROADCAST_SOURCES), rows["source"].eqNullSafe(F.col("__source")))
+    sources = sizes.select(F.col("source").alias("__source"), mean.alias("__mean")).where("__mean > 0")
+    rates = written(with_poisson(sources))
+    numbers = rates.agg(F.sum(F.size("__below"))).first()[0] or 0
+    joined = rows.join(F.broadcast(rates) if numbers <= BROADCAST_NUMBERS else rates, rows["source"].eqNullSafe(F.col("__source")))
     u = uniform(seed, "doc_id")
     copies = F.size(F.filter("__below", lambda c: c <= F.col("__u")))
     counted = joined.withColumn("__u", u).withColumn("n_copies", copies).drop("__source", "__below", "__u").where("n_copies > 0")

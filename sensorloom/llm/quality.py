@@ -180,8 +180,8 @@ def train_scorer(places: list[np.ndarray], amounts: list[np.ndarray], target: np
 def fit_quality(docs: DataFrame) -> QualityModel:
     """The model of docs (text, and any others); null texts are left out.
 
-    Votes are counted over all texts; the scorer is trained on FIT_ROWS texts or about as many, chosen by
-    a hash. Without texts, all probabilities are one half.
+    Votes are counted over all texts; the scorer is trained on FIT_ROWS different texts at most or about as
+    many, chosen by a hash. Without texts, all probabilities are one half.
     """
     texts = docs.where("text is not null").select(F.lit(0).alias("at"), "text")
     counted = map_arrow(texts, _patterns, "pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toPandas()
@@ -192,6 +192,7 @@ def fit_quality(docs: DataFrame) -> QualityModel:
     known = dict(zip(patterns.tolist(), p.tolist(), strict=True))
     share = min(1.0, FIT_ROWS / n.sum())
     chosen = texts.where(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = chosen.dropDuplicates(["text"])  # a text of which there are many copies counts once
     sample = map_arrow(chosen, _training, "pattern long, places binary, amounts binary").toPandas()
     if sample.empty:
         return QualityModel(known, np.zeros(FEATURES), 0.0, table)
