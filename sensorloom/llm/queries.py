@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm.chat_format import chat_digests, format_chats
+from sensorloom.llm.chat_format import CONTROLS, END, SEP, START, chat_digests, format_chats
 from sensorloom.llm.chat_repair import repair, turn_digests
 from sensorloom.llm.decontaminate import contaminations
 from sensorloom.llm.html_text import extract_text
@@ -42,7 +42,96 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op8_ngram_join")
+_JOIN = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+    t AS (SELECT doc_id, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS k FROM w WHERE n >= 3 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    s AS (SELECT DISTINCT doc_id, k FROM t WHERE k IS NOT NULL UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) IN (1, 2)),
+    z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT x, y FROM c JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE 100 * c.n >= 90 * (p.n + q.n - c.n)),
+    r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+    SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, least(d.doc_id, m.y) AS component_id, coalesce(k.n, 0) AS n_links FROM d LEFT JOIN z ON z.doc_id = d.doc_id
+    LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON m.x = d.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) k ON k.x = d.doc_id"""
+
+_CRC = """crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END)) AS t)"""
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of an ASCII text in SQL, with the table of _CRC."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])))"""
+
+
+_RUNS = f"""WITH {_CRC},
+    docs AS (SELECT row_number() OVER () AS row, doc_id, CAST({_crc("CAST(doc_id AS VARCHAR)")} AS BIGINT) AS h,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents, crc_table),
+    shape AS (SELECT row, doc_id, ws, len(ws) AS n, coalesce(h % 10 = 0 AND len(ws) > 0, FALSE) AS changed, h // 10 AS g FROM docs),
+    cut AS (SELECT row, doc_id, ws, n, changed, CASE WHEN changed THEN g % n END AS a, CASE WHEN changed THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM shape),
+    words AS (SELECT row, n, i, CASE WHEN changed AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w
+        FROM (SELECT row, ws, n, changed, a, p, unnest(range(n)) AS i FROM cut)),
+    same AS (SELECT x.row, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.row = y.row AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+    islands AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM same),
+    long AS (SELECT row, min(i) AS s, count(*) + q AS l, q FROM islands GROUP BY row, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+    runs AS (SELECT * FROM long r WHERE NOT EXISTS (FROM long o WHERE o.row = r.row AND o.q < r.q AND r.q % o.q = 0 AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+    listed AS (SELECT row, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY row),
+    best AS (SELECT * FROM runs r WHERE NOT EXISTS (FROM runs o WHERE o.row = r.row AND (o.l * r.q > r.l * o.q OR (o.l * r.q = r.l * o.q AND (o.s < r.s OR (o.s = r.s AND o.q < r.q)))))),
+    kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS t FROM words w WHERE NOT EXISTS (FROM runs r WHERE r.row = w.row AND w.i >= r.s + r.q AND w.i < r.s + r.l) GROUP BY row)
+    SELECT c.doc_id, coalesce(l.n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period,
+        CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+    FROM cut c LEFT JOIN listed l ON c.row = l.row LEFT JOIN best b ON c.row = b.row LEFT JOIN kept k ON c.row = k.row"""
+
+_REPAIR = f"""WITH RECURSIVE {_CRC},
+    kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc_table),
+    damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+        regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS final FROM damaged),
+    faults AS (SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+        WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS pair FROM placed),
+    turns AS (SELECT *, role[1] AS c, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv FROM faults),
+    -- States: 0 nothing, 1 after the system turn, 2 after a user turn, 3 after an assistant turn.
+    ins(i, k, cost, letters, text) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', 'user:' || chr(10)), (1, 2, 3, 'I', 'user:' || chr(10)),
+        (3, 2, 3, 'I', 'user:' || chr(10)), (2, 3, 3, 'I', 'assistant:' || chr(10)), (0, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 6, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))),
+    ed(k, j, c, cost, letter, name) AS (VALUES (0, 0, '', 4, 'D', ''), (1, 1, '', 4, 'D', ''), (2, 2, '', 4, 'D', ''), (3, 3, '', 4, 'D', ''),
+        (0, 1, 's', 0, 'K', ''), (0, 2, 'u', 0, 'K', ''), (1, 2, 'u', 0, 'K', ''), (3, 2, 'u', 0, 'K', ''), (2, 3, 'a', 0, 'K', ''),
+        (0, 2, '', 3, 'R', 'user'), (1, 2, '', 3, 'R', 'user'), (3, 2, '', 3, 'R', 'user'), (2, 3, '', 3, 'R', 'assistant')),
+    steps AS (SELECT DISTINCT conv, CAST(0 AS BIGINT) AS pos, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'text': ''}} AS best FROM turns
+        UNION ALL SELECT s.conv, t.pos, e.j, min({{'cost': CAST(s.best.cost + i.cost + e.cost + CASE WHEN e.letter = 'D' THEN 0 ELSE t.more END AS BIGINT), 'audit': s.best.audit || i.letters || e.letter,
+            'text': s.best.text || i.text || CASE e.letter WHEN 'D' THEN '' WHEN 'K' THEN t.role || ':' || t.text || chr(10) ELSE e.name || ':' || t.text || chr(10) END}})
+        FROM steps s JOIN turns t ON t.conv = s.conv AND t.pos = s.pos + 1 JOIN ins i ON i.i = s.state JOIN ed e ON e.k = i.k
+        WHERE (e.letter = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (e.letter <> 'K' OR e.c = t.c) GROUP BY s.conv, t.pos, e.j),
+    ended AS (SELECT s.conv, min({{'cost': CAST(s.best.cost + i.cost AS BIGINT), 'audit': s.best.audit || i.letters, 'text': s.best.text || i.text}}) AS best
+        FROM steps s JOIN (SELECT conv, max(pos) AS n FROM turns GROUP BY conv) z ON z.conv = s.conv AND z.n = s.pos JOIN ins i ON i.i = s.state AND (i.k = 3 OR (i.k = 0 AND i.i = 0)) GROUP BY s.conv),
+    counted AS (SELECT conv, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv)
+    SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+        coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(e.best.text[:-2], '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv = c.conv"""
+
+
+def _escaped(column: str) -> str:
+    """The escaped text of a column, as chat_format writes it."""
+    out = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return out
+
+
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+_CHATS = f"""WITH rows AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+        SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+    t AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS x FROM rows)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' {_ORDER})) AS turns_sha256,
+        CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(x, '' {_ORDER}) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+        CAST(sum({len(START + SEP + END)} + length({_escaped("r")}) + length({_escaped("x")})) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY conv_id"""
+
+
+@query("op8_ngram_join", _JOIN)
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at a Jaccard similarity of 0.9."""
     return ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
@@ -109,7 +198,7 @@ def op7_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
-@query("op9_chat_format")
+@query("op9_chat_format", _CHATS)
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from all formatted conversations and one with control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -183,7 +272,7 @@ def with_periods(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).drop("_w", "_begin", "_period")
 
 
-@query("op13_periodic_runs")
+@query("op13_periodic_runs", _RUNS)
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All periodic runs of words of every document, some of which are made periodic."""
     found = periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -218,7 +307,7 @@ def damaged(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "text")
 
 
-@query("op11_chat_repair")
+@query("op11_chat_repair", _REPAIR)
 def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every conversation after damage, and a digest of what it gives."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
