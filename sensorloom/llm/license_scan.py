@@ -4,7 +4,8 @@ Only DataFrame functions. Templates are put in classes of similar size. A window
 a half times as long as its largest template, and windows begin half such a length apart, so that a
 notice lies wholly in one of them. Where a window holds 0.8 of a template that is half as long as the
 largest of its class, the two have a Jaccard similarity of 0.4 / 1.6, a quarter. As a band is one
-MinHash value, such a notice is retrieved with a probability of at least 1 - (3/4) ** BANDS, 0.99994.
+MinHash value, such a notice is retrieved with a probability of at least 1 - (3/4) ** BANDS, 0.99994,
+if none of the shingles it lacks carries a word of VARIANT: those are required.
 Shingles that carry a version or variant must all be there, and where templates share their words the
 one with most of them is reported. SPDX lines are read by a pattern. Only the shingle that is a template's smallest under one of the hash
 functions can give an equal band, so texts without any of these shingles have no window to hash.
