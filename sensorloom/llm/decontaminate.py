@@ -35,7 +35,7 @@ LEAST_CHARS = 40
 #: Plain characters of items that are searched for in one pass over the documents.
 BLOCK_CHARS = 4_000_000
 #: Characters of a document that are looked up at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Matches of q-grams that are held at a time; beyond, the places are halved, then the items.
 MATCHES = 1 << 20
 #: Characters of a region in which a window is aligned once.

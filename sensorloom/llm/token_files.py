@@ -40,9 +40,9 @@ SEGMENT_IDS = 2_000_000
 SHARD_CHARS = 1_000_000
 LEAST_SHARDS, MOST_SHARDS = 64, 16_384
 #: Words whose ids a worker remembers, and the characters (or ids) of them all.
-CACHE_WORDS, CACHE_CHARS = 700_000, 50_000_000
+CACHE_WORDS, CACHE_CHARS = 400_000, 25_000_000
 #: Text that is encoded together.
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 
 MAGIC = b"TPK1"
 
@@ -194,8 +194,13 @@ class Words:
         """The place of each word, new ones learned first; an empty or null word has none of its own."""
         coded = words.fill_null("").dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.place], letters)
-        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        found = list(map(self.place.get, distinct))
+        new = [i for i, p in enumerate(found) if p is None]
+        n = len(self.place)
+        self._learn([distinct[i] for i in new], letters)
+        place = np.array(found, np.float64)  # None becomes NaN; places are far below 2**53
+        place[new] = np.arange(n, n + len(new))
+        place = place.astype(np.int64)
         return place[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
