@@ -40,9 +40,9 @@ SEGMENT_IDS = 2_000_000
 SHARD_CHARS = 1_000_000
 LEAST_SHARDS, MOST_SHARDS = 64, 16_384
 #: Words whose ids a worker remembers, and the characters (or ids) of them all.
-CACHE_WORDS, CACHE_CHARS = 400_000, 25_000_000
+CACHE_WORDS, CACHE_CHARS = 500_000, 25_000_000
 #: Text that is encoded together.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 21
 
 MAGIC = b"TPK1"
 
@@ -171,6 +171,10 @@ class Words:
         self.ids = np.concatenate([self.ids, ids])
         self.chars += sum(map(len, words))
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        # The fast form leaves out the places of tokens in their text.
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[str], letters: bool) -> None:
         """Add new words; words of letters are encoded as one text that is cut at the ends of words."""
         ids: list[np.ndarray] = []
@@ -178,13 +182,13 @@ class Words:
         for at in range(0, len(words), 5_000):
             part = words[at : at + 5_000]
             if letters:
-                own = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+                own = np.array(self._ids([" ".join(part)])[0], np.uint32)
                 cuts = np.flatnonzero(self.ends[own]) + 1
                 if len(cuts) == len(part) and cuts[-1] == len(own):
                     ids.append(own)
                     sizes.append(np.diff(cuts, prepend=0))
                     continue
-            each = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            each = self._ids(part)
             ids.append(np.array([i for x in each for i in x], np.uint32))
             sizes.append(np.array([len(x) for x in each], np.int64))
         if words:
@@ -206,7 +210,7 @@ class Words:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id behind it, and how many each has."""
         if not self.by_words:
-            found = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            found = [[*ids, end_id] for ids in self._ids(texts.to_pylist())]
             return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
