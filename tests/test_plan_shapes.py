@@ -88,11 +88,14 @@ def test_stored_categories_meet_without_an_exchange(spark, sf):
 def scans(spark, run) -> list[tuple[str, str]]:
     """Folder and columns of every file scan that run() executes, by the plans Spark ended with."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
+    plans = store.executionsList()
+    before = max((plans.apply(i).executionId() for i in range(plans.size())), default=-1)
     run()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     found, plans = [], store.executionsList()
-    for i in range(before, plans.size()):
+    for i in range(plans.size()):  # the last thousand are kept
+        if plans.apply(i).executionId() <= before:
+            continue
         text = plans.apply(i).physicalPlanDescription()
         tree = text.split("\n\n\n")[0].split("Initial Plan")[0]
         for node in re.findall(r"Scan parquet\s+\((\d+)\)", tree):
