@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import map_arrow
+from sensorloom.llm.common import give_back, map_arrow
 from sensorloom.sources.scratch import scratch_folder
 
 BLOCK_IDS = 8192
@@ -42,7 +42,7 @@ LEAST_SHARDS, MOST_SHARDS = 64, 16_384
 #: Words whose ids a worker remembers, and the characters (or ids) of them all.
 CACHE_WORDS, CACHE_CHARS = 500_000, 25_000_000
 #: Text that is encoded together.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 MAGIC = b"TPK1"
 
@@ -310,6 +310,9 @@ def _segments(bits: int, wide: bool):
     kind = "<u4" if wide else "<u2"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The worker may have encoded texts before: what it remembers of words is of no use here.
+        _words.cache_clear()
+        give_back()
         shard, segment, first, writer = None, 0, 0, SegmentWriter(bits)
 
         def row() -> pa.RecordBatch:

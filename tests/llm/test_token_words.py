@@ -56,3 +56,16 @@ def test_rows_of_one_id_take_many_shards(spark, tmp_path, monkeypatch):
     assert [r["start"] for r in back] == np.cumsum([0, *[r["n_tokens"] for r in back]])[:-1].tolist()
     want = sorted(zip([r[0] or -1 for r in rows], expected(Tokenizer.from_file(TOKENIZER), [r[1] for r in rows]), strict=True))
     assert sorted((r["doc_id"] or -1, np.frombuffer(r["ids"], "<u4").tolist()) for r in back) == want
+
+
+def test_segments_forget_the_words_of_a_worker():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from sensorloom.llm import token_files
+
+    definition = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    token_files.encode_texts(definition, pa.array(["one two"]), 1)
+    assert token_files._words.cache_info().currsize
+    assert list(token_files._segments(16, False)[0](iter([]))) == []
+    assert not token_files._words.cache_info().currsize
