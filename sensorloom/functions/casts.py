@@ -23,6 +23,8 @@ _DAY_FIRST = [(_DAY_MONTH + year, f"{value}-$2-$1") for year, value in _YEARS]
 _MONTH_FIRST = [(_MONTH_DAY + year, f"{value}-$1-$2") for year, value in _YEARS]
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH_NUMBERS = "".join(f"{name}{i:02d}" for i, name in enumerate(MONTHS, 1))
+_MONTH_NAME = rf"(?i)(?<![a-z])({'|'.join(MONTHS)})[a-z]*\.?"
 _WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+"
 # A month by name is written M and its number before these apply.
 _NAMED = [
@@ -31,12 +33,8 @@ _NAMED = [
     (r"^(\d{4})[-/. ]*M(\d\d)[-/. ]*(\d{1,2})", "$1-$2-$3"),
 ]
 _CLOCK = r"(:\d{2})?(:\d{2})?(\.\d+)?\s*"
-# Hours of two halves as hours of the day; each applies to one hour, so the text is used once.
-_HALVES = [
-    (rf"(?i)[,T ]\s*{early}{_CLOCK}{half}\.?m\.?$", f" {hour}$1$2$3")
-    for half, shift in (("a", 0), ("p", 12))
-    for early, hour in [("12", f"{shift:02d}"), *[(f"0?{h}", f"{h + shift:02d}") for h in range(1, 12)]]
-]
+# An hour of two halves: the hour, its minutes, seconds and fraction, the half.
+_HALF_DAY = rf"(?i)[,T ]\s*(12|0?(?:1[01]|[1-9])){_CLOCK}([ap])\.?m\.?$"
 _OFFSET = r"(\d:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
 
 # Which of two numbers can only be the day, for the vote of a column.
@@ -63,6 +61,18 @@ def to_number(c: Column) -> Column:
     return nan_to_null(F.when(~suffixed, c).try_cast("double"))
 
 
+# A plain decimal, and one in its shortest spelling.
+_PLAIN = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
+_SHORTEST = r"^(?:0|-?(?:[1-9]\d*|(?:0|[1-9]\d*)\.\d*[1-9]))$"
+
+
+def _by_value(c: Column) -> Column:
+    """The spelling of a number that is no plain decimal."""
+    value = to_number(c)
+    whole = F.when((F.abs(value) < 1e15) & (value == F.floor(value)), value.cast("decimal(20, 0)").cast("string"))
+    return F.coalesce(whole, value.cast("string"))
+
+
 def canonical_number(c: Column) -> Column:
     """One spelling for each number: 1, 1.0, +1.00 and 01 are 1. NULL if the text is no number.
 
@@ -77,9 +87,12 @@ def canonical_number(c: Column) -> Column:
         (r"^-0$", "0"),
     ):
         plain = F.regexp_replace(plain, pattern, text)
-    value = to_number(c)
-    whole = F.when((F.abs(value) < 1e15) & (value == F.floor(value)), value.cast("decimal(20, 0)").cast("string"))
-    return F.when(c.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), plain).otherwise(F.coalesce(whole, value.cast("string")))
+    return F.when(c.rlike(_SHORTEST), c).when(c.rlike(_PLAIN), plain).otherwise(_by_value(c))
+
+
+def other_spelling(c: Column) -> Column:
+    """Whether a number is written in another way than its canonical one; NULL or false if the text is no number."""
+    return F.when(c.rlike(_SHORTEST), False).when(c.rlike(_PLAIN), True).otherwise(_by_value(c) != c)
 
 
 def nan_to_null(c: Column) -> Column:
@@ -87,13 +100,20 @@ def nan_to_null(c: Column) -> Column:
 
 
 def _with_numbers(c: Column) -> Column:
-    """Month names as numbers and hours of two halves as hours of the day; the weekday goes."""
-    c = F.regexp_replace(c, _WEEKDAY, "")
-    for i, name in enumerate(MONTHS, 1):
-        c = F.regexp_replace(c, rf"(?i)(?<![a-z]){name}[a-z]*\.?", f"M{i:02d}")
-    for pattern, text in (*_NAMED, *_HALVES, (r" (\d{2})$", " $1:00")):
+    """Month names as numbers and hours of two halves as hours of the day; the weekday goes.
+
+    One pass each: the number written is that of the first name, or of the only hour, in the text. A
+    text that names two months is no date either way.
+    """
+    name = F.lower(F.regexp_extract(c, _MONTH_NAME, 1))
+    month = F.concat(F.lit("M"), F.substr(F.lit(_MONTH_NUMBERS), F.position(name, F.lit(_MONTH_NUMBERS)) + 3, F.lit(2)))
+    hour = F.regexp_extract(c, _HALF_DAY, 1).try_cast("int") % 12 + F.when(F.lower(F.regexp_extract(c, _HALF_DAY, 5)) == "p", 12).otherwise(0)
+    clock = F.concat(F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit("$2$3$4"))
+    halved = F.coalesce(F.when(c.rlike(r"(?i)m\.?$"), clock), F.lit(""))
+    c = F.regexp_replace(F.regexp_replace(c, _WEEKDAY, ""), F.lit(_MONTH_NAME), month)
+    for pattern, text in _NAMED:
         c = F.regexp_replace(c, pattern, text)
-    return c
+    return F.regexp_replace(F.regexp_replace(c, F.lit(_HALF_DAY), halved), r" (\d{2})$", " $1:00")
 
 
 def to_moment(c: Column, day_first: bool = True) -> Column:
@@ -102,11 +122,13 @@ def to_moment(c: Column, day_first: bool = True) -> Column:
     Where two numbers could both be the month, day_first decides; a number above 12 is the day.
     Years may have two digits, hours AM or PM. An offset is dropped: the clock time stays as written.
     """
-    c = F.when(c.rlike("[A-Za-z]{2}"), _with_numbers(c)).otherwise(c)
+    # ISO dates need no other pattern. Letters are those of names and halves, not T and Z alone.
+    iso = c.rlike(r"^\d{4}-\d") & ~c.rlike("[A-Za-z]{2}")
+    read = F.when(c.rlike("[A-Za-z]{2}"), _with_numbers(c)).otherwise(c)
     orders = (*_DAY_FIRST, *_MONTH_FIRST) if day_first else (*_MONTH_FIRST, *_DAY_FIRST)
-    for pattern, iso in (_YEAR_FIRST, *orders, (_OFFSET, "$1")):
-        c = F.regexp_replace(c, pattern, iso)
-    return c.try_cast("timestamp_ntz")
+    for pattern, text in (_YEAR_FIRST, *orders):
+        read = F.regexp_replace(read, pattern, text)
+    return F.regexp_replace(F.when(iso, c).otherwise(read), _OFFSET, "$1").try_cast("timestamp_ntz")
 
 
 def to_day(c: Column) -> Column:

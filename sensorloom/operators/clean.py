@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.config import CATEGORIES
-from sensorloom.functions.casts import DAY_ONLY, MONTH_ONLY, canonical_number, clean_text, to_moment, to_number
+from sensorloom.functions.casts import DAY_ONLY, MONTH_ONLY, canonical_number, clean_text, other_spelling, to_moment, to_number
 from sensorloom.functions.names import (
     datetime_columns,
     find_by_keyword,
@@ -214,22 +214,29 @@ def fold_copies(df: DataFrame) -> DataFrame:
 def respelled(folded: DataFrame) -> tuple[list[str], list[str]]:
     """Columns of numbers in more than one spelling, and columns of dates in more than one format.
 
-    A column counts as one of numbers if all its values are. One aggregate for all columns.
+    A column counts as one of numbers if all its values are.
     """
+    return _spellings(folded)[:2]
+
+
+def _spellings(folded: DataFrame) -> tuple[list[str], list[str], dict[str, bool]]:
+    """The columns of respelled, and for all columns of dates whether the day comes first; one aggregate for all."""
     rows = folded.drop(COPIES)
     dates = text_datetimes(rows)
     others = [c for c in text_columns(rows) if c not in dates]
     if not dates and not others:
-        return [], []
-    form = {c: F.regexp_replace(F.regexp_replace(col(c), "[0-9]", "9"), "[A-Za-z]+", "a") for c in dates}
+        return [], [], {}
+    form = {c: F.regexp_replace(F.translate(col(c), "012345678", "9" * 9), "[A-Za-z]+", "a") for c in dates}
     found = rows.agg(
         *[F.count_if(col(c).isNotNull() & to_number(col(c)).isNull()).alias(f"t{i}") for i, c in enumerate(others)],
-        *[F.count_if(canonical_number(col(c)) != col(c)).alias(f"s{i}") for i, c in enumerate(others)],
+        *[F.count_if(other_spelling(col(c))).alias(f"s{i}") for i, c in enumerate(others)],
         *[F.min(form[c]).alias(f"a{i}") for i, c in enumerate(dates)],
         *[F.max(form[c]).alias(f"z{i}") for i, c in enumerate(dates)],
+        *_date_counts(dates),
     ).first()
     numbers = [c for i, c in enumerate(others) if not found[f"t{i}"] and found[f"s{i}"]]
-    return numbers, [c for i, c in enumerate(dates) if found[f"a{i}"] != found[f"z{i}"]]
+    orders = {c: found[f"day{i}"] >= found[f"month{i}"] for i, c in enumerate(dates)}
+    return numbers, [c for i, c in enumerate(dates) if found[f"a{i}"] != found[f"z{i}"]], orders
 
 
 def fold_by_value(
@@ -259,10 +266,10 @@ def distinct_by_value(df: DataFrame) -> DataFrame:
     Copies are folded as text first, so that only distinct rows are looked at again.
     """
     folded = written(fold_copies(df))
-    numbers, dates = respelled(folded)
+    numbers, dates, orders = _spellings(folded)
     if not numbers and not dates:
         return folded
-    return written(fold_by_value(folded, numbers, dates, column_votes(folded)[1]))
+    return written(fold_by_value(folded, numbers, dates, orders))
 
 
 def column_votes(folded: DataFrame) -> tuple[list[str], dict[str, bool]]:

@@ -27,3 +27,12 @@ def test_a_column_with_words_is_compared_as_text(spark, other):
     df = spark.createDataFrame([("1.0",), ("1.00",), (other,)], "value string")
     assert sorted(r["value"] for r in distinct_by_value(df).collect()) == sorted(["1.0", "1.00", other])
     assert distinct_by_value(df.limit(0)).count() == 0
+
+
+def test_other_spellings_are_those_canonical_number_changes(spark):
+    from sensorloom.functions.casts import other_spelling
+
+    texts = ["0", "-0", "00", "1", "+1", "01", "1.", "1.0", "0.5", "-.5", "-0.50", "1e3", "1000", "1.0E20", "inf", "NaN", "abc", "", None]
+    c = F.col("text")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(c, (canonical_number(c) != c).alias("changed"), other_spelling(c).alias("other")).collect()
+    assert [(r["text"], bool(r["changed"])) for r in rows] == [(r["text"], bool(r["other"])) for r in rows]

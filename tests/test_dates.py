@@ -53,3 +53,13 @@ def test_a_column_settles_the_order(spark, texts, day_first):
     if texts[0]:
         assert rows[0] == (D(2024, 2, 1) if day_first else D(2024, 1, 2)) and rows[0] in cleaned
     assert date_votes(df.select("v")).count() == 0
+
+
+def test_few_patterns_read_a_moment(spark):
+    # Each pattern is a pass over every text of a column; months and hours of two halves have one each.
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(to_moment(F.col("t")).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") < 25
+    texts = ["Sat, 1 Feb 2020 12:05 am", "feb 1, 2020 011:05:06.5 P.M.", "2020-02-01T10:00:00Z", "1 Jan Feb 2020"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r["m"] for r in df.select("i", to_moment(F.col("t")).alias("m")).orderBy("i").collect()]
+    assert found == [D(2020, 2, 1, 0, 5), D(2020, 2, 1, 23, 5, 6, 500_000), D(2020, 2, 1, 10), None]
