@@ -15,23 +15,26 @@ from sensorloom.config import CSV_NULL_MARKERS, SENTINELS
 # are those from 1969 on, as pandas and POSIX read them.
 _YEAR_FIRST = (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
 _MONTH = r"(0?[1-9]|1[0-2])"
-_LATE, _EARLY = r"(69|[7-9]\d)(?!\d)", r"([0-5]\d|6[0-8])(?!\d)"
-_DAY_MONTH = rf"^(\d{{1,2}})[-/.]{_MONTH}[-/.]"
-_MONTH_DAY = rf"^{_MONTH}[-/.](\d{{1,2}})[-/.]"
-_YEARS = ((r"(\d{4})", "$3"), (_LATE, "19$3"), (_EARLY, "20$3"))
-_DAY_FIRST = [(_DAY_MONTH + year, f"{value}-$2-$1") for year, value in _YEARS]
-_MONTH_FIRST = [(_MONTH_DAY + year, f"{value}-$1-$2") for year, value in _YEARS]
+# Years of two digits get their century first, so that one pattern reads all years of an order.
+_SHORT_YEARS = [(r"^(\d{1,2}[-/.]\d{1,2}[-/.])(69|[7-9]\d)(?!\d)", "$119$2"), (r"^(\d{1,2}[-/.]\d{1,2}[-/.])([0-5]\d|6[0-8])(?!\d)", "$120$2")]
+_DAY_FIRST = (rf"^(\d{{1,2}})[-/.]{_MONTH}[-/.](\d{{4}})", "$3-$2-$1")
+_MONTH_FIRST = (rf"^{_MONTH}[-/.](\d{{1,2}})[-/.](\d{{4}})", "$3-$1-$2")
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 _MONTH_NUMBERS = "".join(f"{name}{i:02d}" for i, name in enumerate(MONTHS, 1))
 _MONTH_NAME = rf"(?i)(?<![a-z])({'|'.join(MONTHS)})[a-z]*\.?"
 _WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+"
-# A month by name is written M and its number before these apply.
-_NAMED = [
-    *[(rf"^(\d{{1,2}})(?:st|nd|rd|th)?[-/. ]*M(\d\d)[-/., ]*{year}", f"{value}-$2-$1") for year, value in _YEARS],
-    *[(rf"^M(\d\d)[-/. ]*(\d{{1,2}})(?:st|nd|rd|th)?[-/., ]+{year}", f"{value}-$1-$2") for year, value in _YEARS],
-    (r"^(\d{4})[-/. ]*M(\d\d)[-/. ]*(\d{1,2})", "$1-$2-$3"),
-]
+# Whether a text may name a month. Its name is written M and its number before the patterns of _named apply.
+_NAMES_MONTH = rf"(?i)(?<![a-z])(?:{'|'.join(MONTHS)})|M\d\d"
+
+
+def _named(day_first: bool) -> list[tuple[str, str]]:
+    """Dates with a month M and its number, turned into numbers in the order that is tried first."""
+    day_month = (r"^(\d{1,2})(?:st|nd|rd|th)?[-/. ]*M(\d\d)[-/., ]*(?=\d)", "$1-$2-" if day_first else "$2-$1-")
+    month_day = (r"^M(\d\d)[-/. ]*(\d{1,2})(?:st|nd|rd|th)?[-/., ]+(?=\d)", "$2-$1-" if day_first else "$1-$2-")
+    return [day_month, month_day, (r"^(\d{4})[-/. ]*M(\d\d)[-/. ]*(\d{1,2})", "$1-$2-$3")]
+
+
 _CLOCK = r"(:\d{2})?(:\d{2})?(\.\d+)?\s*"
 # An hour of two halves: the hour, its minutes, seconds and fraction, the half.
 _HALF_DAY = rf"(?i)[,T ]\s*(12|0?(?:1[01]|[1-9])){_CLOCK}([ap])\.?m\.?$"
@@ -99,7 +102,7 @@ def nan_to_null(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def _with_numbers(c: Column) -> Column:
+def _with_numbers(c: Column, day_first: bool) -> Column:
     """Month names as numbers and hours of two halves as hours of the day; the weekday goes.
 
     One pass each: the number written is that of the first name, or of the only hour, in the text. A
@@ -110,10 +113,12 @@ def _with_numbers(c: Column) -> Column:
     hour = F.regexp_extract(c, _HALF_DAY, 1).try_cast("int") % 12 + F.when(F.lower(F.regexp_extract(c, _HALF_DAY, 5)) == "p", 12).otherwise(0)
     clock = F.concat(F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit("$2$3$4"))
     halved = F.coalesce(F.when(c.rlike(r"(?i)m\.?$"), clock), F.lit(""))
-    c = F.regexp_replace(F.regexp_replace(c, _WEEKDAY, ""), F.lit(_MONTH_NAME), month)
-    for pattern, text in _NAMED:
-        c = F.regexp_replace(c, pattern, text)
-    return F.regexp_replace(F.regexp_replace(c, F.lit(_HALF_DAY), halved), r" (\d{2})$", " $1:00")
+    rest = F.regexp_replace(c, _WEEKDAY, "")
+    named = F.regexp_replace(rest, F.lit(_MONTH_NAME), month)
+    for pattern, text in _named(day_first):
+        named = F.regexp_replace(named, pattern, text)
+    read = F.when(c.rlike(_NAMES_MONTH), named).otherwise(rest)
+    return F.regexp_replace(F.regexp_replace(read, F.lit(_HALF_DAY), halved), r" (\d{2})$", " $1:00")
 
 
 def to_moment(c: Column, day_first: bool = True) -> Column:
@@ -123,10 +128,10 @@ def to_moment(c: Column, day_first: bool = True) -> Column:
     Years may have two digits, hours AM or PM. An offset is dropped: the clock time stays as written.
     """
     # ISO dates need no other pattern. Letters are those of names and halves, not T and Z alone.
-    iso = c.rlike(r"^\d{4}-\d") & ~c.rlike("[A-Za-z]{2}")
-    read = F.when(c.rlike("[A-Za-z]{2}"), _with_numbers(c)).otherwise(c)
-    orders = (*_DAY_FIRST, *_MONTH_FIRST) if day_first else (*_MONTH_FIRST, *_DAY_FIRST)
-    for pattern, text in (_YEAR_FIRST, *orders):
+    iso = c.rlike(r"(?s)^\d{4}-\d(?!.*[A-Za-z]{2})")
+    read = F.when(c.rlike("[A-Za-z]{2}"), _with_numbers(c, day_first)).otherwise(c)
+    orders = (_DAY_FIRST, _MONTH_FIRST) if day_first else (_MONTH_FIRST, _DAY_FIRST)
+    for pattern, text in (_YEAR_FIRST, *_SHORT_YEARS, *orders):
         read = F.regexp_replace(read, pattern, text)
     return F.regexp_replace(F.when(iso, c).otherwise(read), _OFFSET, "$1").try_cast("timestamp_ntz")
 

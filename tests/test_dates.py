@@ -63,3 +63,13 @@ def test_few_patterns_read_a_moment(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = [r["m"] for r in df.select("i", to_moment(F.col("t")).alias("m")).orderBy("i").collect()]
     assert found == [D(2020, 2, 1, 0, 5), D(2020, 2, 1, 23, 5, 6, 500_000), D(2020, 2, 1, 10), None]
+
+
+@pytest.mark.parametrize("day_first", [True, False])
+def test_years_and_named_months_share_the_patterns_of_their_order(spark, day_first):
+    texts = ["5 Mar 69", "Mar 5, 68", "5/3/69", "2-Apr-2021 9 PM", "April 2nd, 21", "31 Feb 21", "2021 Apr 2", "5 Mar 123"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", to_moment(F.col("t"), day_first).alias("m"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 16
+    ambiguous = D(1969, 3, 5) if day_first else D(1969, 5, 3)
+    want = [D(1969, 3, 5), D(2068, 3, 5), ambiguous, D(2021, 4, 2, 21), D(2021, 4, 2), None, D(2021, 4, 2), None]
+    assert [r["m"] for r in df.orderBy("i").collect()] == want
