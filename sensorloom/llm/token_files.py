@@ -22,7 +22,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ CACHE_WORDS, CACHE_CHARS = 300_000, 25_000_000
 PIECE_BYTES = 1 << 20
 
 MAGIC = b"TPK1"
+#: Bits of an id that are whole numbers as they stand.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -54,6 +56,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """The ids in bits each, lowest first. Eight of them fill bits whole bytes."""
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
     rows = -(-len(ids) // 8)
     values = np.zeros((rows, 8), np.uint64)
     values.reshape(-1)[: len(ids)] = ids
@@ -68,6 +72,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(data: np.ndarray, first: int, count: int, bits: int) -> np.ndarray:
     """count ids from number first on, of data that goes on for 8 bytes after the last."""
+    if bits in WHOLE:
+        return np.ndarray((count,), WHOLE[bits], buffer=data, offset=first * bits // 8).astype(np.uint32)
     at = (first + np.arange(count, dtype=np.int64)) * bits
     windows = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
     return ((windows[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
@@ -163,13 +169,28 @@ class Words:
     def forget(self) -> None:
         self.place: dict[str, int] = {"": 0}
         self.ids, self.starts = np.empty(0, np.uint32), np.zeros(2, np.int64)
+        self.met = np.zeros(1, bool)  # again since the word was learned, or since room was last made
         self.chars = 0
 
+    def _full(self, share: float = 1) -> bool:
+        return len(self.place) > share * CACHE_WORDS or max(self.chars, len(self.ids)) > share * CACHE_CHARS
+
+    def _make_room(self) -> None:
+        """Forget the words not met again, or all where those met again leave too little room."""
+        words, sizes = list(compress(self.place, self.met)), np.diff(self.starts)[self.met]
+        begin = self.starts[:-1][self.met]
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)]
+        self.forget()
+        self._add(words, ids, sizes)
+        if self._full(2 / 3):
+            self.forget()
+
     def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.place)
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, ids])
+        self.met = np.append(self.met, np.zeros(len(words), bool))
         self.chars += sum(map(len, words))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -201,6 +222,7 @@ class Words:
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist
         place = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(place < 0)
+        self.met[place[place > 0]] = True
         n = len(self.place)
         self._learn([distinct[i] for i in new], letters)
         place[new] = np.arange(n, n + len(new))
@@ -234,8 +256,8 @@ class Words:
         done = np.cumsum(size)
         out = ids[np.arange(done[-1] if len(done) else 0) + np.repeat(begin - done + size, size)]
         total = done[2 * last + 1] if len(last) else np.empty(0, np.int64)
-        if len(self.place) > CACHE_WORDS or self.chars > CACHE_CHARS or len(self.ids) > CACHE_CHARS:
-            self.forget()
+        if self._full():
+            self._make_room()
         return out, np.diff(total, prepend=0)
 
 

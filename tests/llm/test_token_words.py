@@ -78,3 +78,38 @@ def test_words_share_their_letters_whatever_marks_follow():
     assert words.by_words and split(words.encode(pa.array(texts), 1)) == expected(tokenizer, texts)
     # Only an apostrophe, or letters behind the marks, makes another word of it.
     assert [w for w in words.place if "rthat" in w] == ["erthat", "Erthat's", "Erthat$s"]
+
+
+def test_words_met_again_are_kept(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 20)
+    definition = open(TOKENIZER, encoding="utf-8").read()
+    tokenizer, words = Tokenizer.from_file(TOKENIZER), token_files.Words(definition)
+    learned, learn = [], words._learn
+    words._learn = lambda new, letters: (learned.extend(new), learn(new, letters))[1]
+    rare = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(200)]
+    for at in range(0, 200, 5):
+        texts = ["often Metagain. " + " ".join(rare[at : at + 5]), "often"]
+        assert split(words.encode(pa.array(texts), 1)) == expected(tokenizer, texts)
+        assert len(words.place) <= 20 + 8
+    # Only the words that do not come again were forgotten.
+    assert learned.count("often") == learned.count("metagain") == 1 and set(rare) <= set(learned)
+    # Where too many come again, all are forgotten.
+    texts = [" ".join(rare[:30])]
+    for _ in range(3):
+        assert split(words.encode(pa.array(texts), 1)) == expected(tokenizer, texts)
+    assert learned.count("often") == 1 and len(words.place) == 1
+
+
+def test_ids_of_whole_bytes_are_packed_as_any_other(monkeypatch):
+    rng = np.random.default_rng(3)
+    for bits in (8, 16, 32):
+        for n in (0, 1, 7, 8, 1001):
+            ids = rng.integers(0, 2**bits, n, np.uint64).astype(np.uint32)
+            plain = token_files.pack(ids, bits)
+            data = np.frombuffer(b"x" + plain + bytes(8), np.uint8)[1:]  # a block may begin at any byte
+            found = [token_files.unpack(data, at, n - at, bits).tolist() for at in range(min(n, 3) + 1)]
+            with monkeypatch.context() as m:
+                m.setattr(token_files, "WHOLE", {})
+                assert token_files.pack(ids, bits) == plain
+                assert [token_files.unpack(data, at, n - at, bits).tolist() for at in range(min(n, 3) + 1)] == found
+            assert found[0] == ids.tolist()
