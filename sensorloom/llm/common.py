@@ -4,34 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.sources.shipping import ship
+
 #: Rows of at most a few numbers each that a join may broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, as --py-files would."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)
-
 
 def give_back() -> None:
     """Return unused memory of this process to the system; a worker lives on for other tasks."""
